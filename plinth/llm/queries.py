@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, minhash, packing, phrases, quality_rules, sharding, token_orc, urlfilter, warc
+from . import classifier, decontam, minhash, packing, phrases, quality_rules, sharding, token_orc, urlfilter, warc
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op5_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return classifier.score(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
@@ -45,5 +49,5 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_warc_transactions, op3_quality_rules, op4_extendible_hashing, op5_phrase_automata, op7_quality_classifier, op8_token_orc, op9_best_fit_packing, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_warc_transactions, op3_quality_rules, op4_extendible_hashing, op5_phrase_automata, op6_latent_decontamination, op7_quality_classifier, op8_token_orc, op9_best_fit_packing, op10_url_filter)}
 ORACLES: dict[str, str] = {}
