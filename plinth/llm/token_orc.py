@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import blocks, fresh_path, with_columns
+from .common import blocks, fresh_path, with_columns, written
 from .tokens import END, encoder, ids_array, tokenizer_path
 
 SCHEMA = "doc_id long, tie long, ids array<int>"
@@ -67,7 +67,7 @@ def index(spark: SparkSession, path: str) -> DataFrame:
 
     The running sum is taken within a file; the files' totals, one row a file, give each file's own start."""
     ship(spark)
-    rows = read_tokens(spark, path).mapInArrow(_digests, "file int, doc_id long, tie long, n_tokens long, ids_crc32 long")
+    rows = written(read_tokens(spark, path).mapInArrow(_digests, "file int, doc_id long, tie long, n_tokens long, ids_crc32 long"), "digests")
     inside = Window.partitionBy("file").orderBy(F.asc_nulls_first("doc_id"), "tie").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total")).select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))

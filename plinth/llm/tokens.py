@@ -1,21 +1,23 @@
 """Token ids by the tokenizers library, with exact word memoisation.
 
 A text is cut before every space that a non-space character follows; no pre-token spans such a cut, so the pieces'
-ids joined are the whole text's ids.  Each distinct piece is encoded once a task and kept as little-endian bytes.
-Texts in which a cut could stand inside a run of white space go to the library as a whole.
+ids joined are the whole text's ids.  Each distinct piece is encoded once while it is remembered, and kept as
+little-endian bytes.  Texts with a space before white space or the end go to the library as a whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 from functools import lru_cache
 
 import pyarrow as pa
 
 END = (0).to_bytes(4, "little")
-_RUNS = re.compile(r"(?:^|\s) (?:\s|$)")
-#: Latin letters of one pre-token, then punctuation of one pre-token.
-_PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)((?:[!-&(-/:-@\[-`{-~]+)?)\Z")
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: ASCII punctuation that both vocabularies' patterns keep together; the apostrophe starts contractions.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,81 +33,98 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in kept else chr(next(rest)) for b in range(256)]
 
 
+class _Whole(Exception):
+    """The text can't be cut at every space."""
+
+
+class _Pieces(dict):
+    """Ids of what follows a space.  Two generations: when the young one is full it becomes the old one."""
+
+    def __init__(self, encoder: Encoder, most: int):
+        super().__init__()
+        self.encoder, self.most, self.old = encoder, most, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            if not word or word[0].isspace():
+                raise _Whole
+            found = self.encoder.piece(word, True)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+
 class Encoder:
     """encode(text) -> the ids' bytes, little-endian unsigned 32 bits each, without an end id."""
 
-    def __init__(self, path: str, most: int = 400_000):
-        import json
-
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.lower = "Lowercase" in json.dumps(spec["normalizer"])
-        self.model, self.chars = self.tokenizer.model, _byte_chars()
-        self.parts: dict[str, bytes] = {}
-        self.lines: dict[str, bytes] = {}
-        self.most = most
-        self.pieces = _Pieces(self)
+            self.lower = "Lowercase" in json.dumps(json.load(f)["normalizer"])
+        self.model, self.chars = self.tokenizer.model.tokenize, _byte_chars()
+        self.space = "" if self.lower else self.chars[32]
         self.newline = self.whole("\n")
+        self.marks: dict[str, bytes] = {}
+        self.pieces = _Pieces(self, most)
+        self.lines = _Pieces(self, most // 4)
 
     def whole(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def part(self, token: str) -> bytes:
-        """Ids of one pre-token, straight from the model."""
-        found = self.parts.get(token)
+    def letters(self, word: str, spaced: bool) -> bytes:
+        """Ids of one pre-token of Latin letters, straight from the library's model."""
+        if self.lower:
+            word = word.lower()
+        if not word.isascii():
+            word = "".join([self.chars[b] for b in word.encode()])
+        return array("I", [t.id for t in self.model(self.space + word if spaced else word)]).tobytes()
+
+    def punctuation(self, marks: str) -> bytes:
+        found = self.marks.get(marks)
         if found is None:
-            found = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize("".join([self.chars[b] for b in token.encode()])))
-            if len(self.parts) >= self.most:
-                self.parts.clear()
-            self.parts[token] = found
+            if len(self.marks) >= 10_000:
+                self.marks.clear()
+            self.marks[marks] = found = self.whole(marks)
         return found
 
-    def line(self, line: str) -> bytes:
-        """Ids of a part of a piece that starts a line."""
-        found = self.lines.get(line)
+    def piece(self, word: str, spaced: bool) -> bytes:
+        """Ids of a word without white space at its start, after a space or (not spaced) at a line's start."""
+        if word.isalpha() and (word.isascii() or _LATIN(word)):
+            return self.letters(word, spaced)
+        head = word.rstrip(_MARKS)
+        if head and head.isalpha() and (head.isascii() or _LATIN(head)):
+            return (self.pieces[head] if spaced else self.letters(head, False)) + self.punctuation(word[len(head) :])
+        if "\n" in word:  # single line ends between words are pre-tokens of their own
+            first, *rest = word.split("\n")
+            if all(p and p.split() == [p] for p in (first, *rest)):
+                return (self.pieces[first] if spaced else self.line(first)) + b"".join([self.newline + self.line(p) for p in rest])
+        return self.whole(" " + word if spaced else word)
+
+    def line(self, word: str) -> bytes:
+        found = self.lines.get(word)
         if found is None:
-            if len(self.lines) >= self.most:
+            found = self.lines.old.get(word) or self.piece(word, False)
+            if len(self.lines) >= self.lines.most:
+                self.lines.old = dict(self.lines)
                 self.lines.clear()
-            self.lines[line] = found = self.piece(line)
+            self.lines[word] = found
         return found
 
-    def piece(self, piece: str) -> bytes:
-        if "\n" in piece:  # single line ends between words are pre-tokens of their own
-            first, *rest = piece.split("\n")
-            if first.removeprefix(" ") and all(p and p.split() == [p] for p in (first.removeprefix(" "), *rest)):
-                head = self.pieces[first[1:]] if first[0] == " " else self.line(first)
-                return head + b"".join([self.newline + self.line(p) for p in rest])
-        m = _PLAIN.match(piece)
-        if not m:
-            return self.whole(piece)
-        space, letters, marks = m.groups()
-        if self.lower:
-            letters, space = letters.lower(), ""
-        return self.part(space + letters) + (self.part(marks) if marks else b"")
-
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if _RUNS.search(text):
+        try:
+            first, *rest = text.split(" ")
+            head = (self.line(first) if not first[0].isspace() else self.whole(first)) if first else b""
+            return head + b"".join(map(self.pieces.__getitem__, rest))
+        except _Whole:
             return self.whole(text)
-        first, *rest = text.split(" ")
-        return (self.piece(first) if first else b"") + b"".join(map(self.pieces.__getitem__, rest))
-
-
-class _Pieces(dict):
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.encoder.most:
-            self.clear()
-        self[word] = found = self.encoder.piece(" " + word)
-        return found
 
 
 @lru_cache(maxsize=2)
