@@ -211,5 +211,33 @@ def deduplicated(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     return out.select(F.when(F.col("doc") != _NONE, F.col("doc")).alias("doc_id"), "tie", "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
 
 
+def _cleaned(names: list[str]):
+    def run(batches):
+        for batch in batches:
+            texts, found = batch.column("text").to_pylist(), batch.column("_ranges").to_pylist()
+            kept = []
+            for own, text in zip(found, texts, strict=True):
+                if own:
+                    parts = text.encode().split()
+                    keep = np.ones(len(parts), bool)
+                    for r in own:
+                        keep[r["low"] : r["high"]] = False
+                    text = b" ".join([parts[i] for i in np.flatnonzero(keep)]).decode()
+                kept.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
+
+    return run
+
+
+def cleaned(docs: DataFrame, split: int = SPLIT) -> DataFrame:
+    """docs with all its columns and rows, texts without the words that deduplicated() removes; n_chars, where there is
+    one, follows.  Texts that lose nothing stay as they are."""
+    ship(docs.sparkSession)
+    ranges = written(repeated_ranges(_keyed(docs), split), "ranges").select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), F.col("ranges").alias("_ranges"))
+    own = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE))).withColumn("_tie", F.xxhash64("text"))
+    out = own.join(ranges, ["_doc", "_tie"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_ranges").mapInArrow(_cleaned(docs.columns), docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def digest(docs: DataFrame) -> DataFrame:
     return deduplicated(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
