@@ -103,16 +103,28 @@ def _distance() -> Column:
     return sum((y * y for y in ys[1:]), ys[0] * ys[0])
 
 
+SALTS = 32
+
+
+def _with(rows: DataFrame, estimates: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows beside their group's estimates.  A hot group is dealt over SALTS tasks, its one row of estimates repeated;
+    without keys there is one row of estimates, which is broadcast."""
+    if not keys:
+        return rows.join(F.broadcast(estimates), how=how)
+    salted = estimates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = rows.withColumn("_salt", F.pmod(F.xxhash64(*DIMENSIONS, "doc_id"), F.lit(SALTS)).cast("int"))
+    return own.join(salted, [*keys, "_salt"], how).drop("_salt")
+
+
 def _estimates(rows: DataFrame, keys: list[str], steps: int = STEPS, h: float = H) -> DataFrame:
     """Factors by group after the concentration steps; the first subset lies about the coordinates' medians."""
     median = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.percentile_approx(d, 0.5, 1000).alias(f"m_{d}") for d in DIMENSIONS])
     spread = [(F.lit(1.0) if i == j else F.lit(0.0)).alias(f"l_{a}_{b}") for i, a in enumerate(DIMENSIONS) for j, b in enumerate(DIMENSIONS[: i + 1])]
     found = written(median.select(*keys, "n", *[f"m_{d}" for d in DIMENSIONS], *spread), "mcd")
     for _ in range(steps):
-        near = rows.join(found, keys).withColumn("d2", _distance()) if keys else rows.crossJoin(found).withColumn("d2", _distance())
-        near = near.select(*keys, *DIMENSIONS, "d2")
+        near = _with(rows, found, keys).select(*keys, "doc_id", *DIMENSIONS, _distance().alias("d2"))
         limits = near.groupBy(*keys).agg(F.percentile_approx("d2", h, 1000).alias("limit"))
-        chosen = (near.join(limits, keys) if keys else near.crossJoin(limits)).where("d2 <= limit")
+        chosen = _with(near, limits, keys).where("d2 <= limit")
         after = written(_factors(chosen.groupBy(*keys).agg(*_MOMENTS), keys), "mcd")
         discard(found)
         found = after
@@ -129,11 +141,11 @@ def judged(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     rows = statistics(docs).withColumn("lang", F.coalesce(F.col("lang").cast("string"), F.lit(""))).withColumn("source", F.coalesce(F.col("source").cast("string"), F.lit("")))
     rows = rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     rows = written(rows.select("*", *_vector()), "statistics")
-    sound = rows.where("not base_failed").select("lang", "source", *DIMENSIONS)
+    sound = rows.where("not base_failed").select("doc_id", "lang", "source", *DIMENSIONS)
     groups = _estimates(sound, ["lang", "source"]).where(F.col("n") >= LEAST * H)
     overall = _estimates(sound, [])
     names = [c for c in overall.columns]
-    joined = rows.join(groups, ["lang", "source"], "left").join(F.broadcast(overall.select(*[F.col(c).alias(f"all_{c}") for c in names])), how="left")  # one row
+    joined = _with(_with(rows, groups, ["lang", "source"], "left"), overall.select(*[F.col(c).alias(f"all_{c}") for c in names]), [], "left")
     joined = joined.select(*rows.columns, *[F.coalesce(F.col(c), F.col(f"all_{c}")).alias(c) for c in names])
     joined = joined.withColumn("distance2", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(True))

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import ship
-from .common import blocks, fresh_path, with_columns, written
+from ..runtime import fresh_path, ship
+from .common import blocks, with_columns, written
 from .tokens import END, encoder, ids_array, tokenizer_path
 
 SCHEMA = "doc_id long, tie long, ids array<int>"

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship
-from .common import blocks, fresh_path, with_columns
+from ..runtime import fresh_path, ship
+from .common import blocks, with_columns
 
 CRLF = b"\r\n"
 END = "\r\n\r\n"
