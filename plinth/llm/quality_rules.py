@@ -75,7 +75,9 @@ def _vector() -> list[Column]:
     ]
 
 
-_MOMENTS = [F.count("*").alias("n")] + [F.sum(d).alias(f"s_{d}") for d in DIMENSIONS] + [F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for i, a in enumerate(DIMENSIONS) for b in DIMENSIONS[: i + 1]]
+def _moments() -> list[Column]:
+    sums = [F.sum(d).alias(f"s_{d}") for d in DIMENSIONS]
+    return [F.count("*").alias("n"), *sums, *[F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for i, a in enumerate(DIMENSIONS) for b in DIMENSIONS[: i + 1]]]
 
 
 def _factors(moments: DataFrame, keys: list[str]) -> DataFrame:
@@ -125,7 +127,7 @@ def _estimates(rows: DataFrame, keys: list[str], steps: int = STEPS, h: float =
         near = _with(rows, found, keys).select(*keys, "doc_id", *DIMENSIONS, _distance().alias("d2"))
         limits = near.groupBy(*keys).agg(F.percentile_approx("d2", h, 1000).alias("limit"))
         chosen = _with(near, limits, keys).where("d2 <= limit")
-        after = written(_factors(chosen.groupBy(*keys).agg(*_MOMENTS), keys), "mcd")
+        after = written(_factors(chosen.groupBy(*keys).agg(*_moments()), keys), "mcd")
         discard(found)
         found = after
     return found

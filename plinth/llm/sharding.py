@@ -29,7 +29,8 @@ def _prefix(bits: Column, h: str = "h", of: int = BITS) -> Column:
     return F.call_function("shiftright", F.col(h), F.lit(of) - bits)
 
 
-_SUMS = [F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.min("first").alias("first"), F.max("last").alias("last")]
+def _sums() -> list[Column]:
+    return [F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.min("first").alias("first"), F.max("last").alias("last")]
 
 
 def directory(sized: DataFrame, limit: int) -> DataFrame:
@@ -38,12 +39,12 @@ def directory(sized: DataFrame, limit: int) -> DataFrame:
     depth = min(BITS, max(1, math.ceil(math.log2(max(1, total / limit)))) + 4)
     low, found = 0, None
     sized = sized.select("h", "bytes", F.lit(1).alias("rows"), F.col("h").alias("first"), F.col("h").alias("last"))
-    cells = sized.groupBy(_prefix(F.lit(depth)).alias("cell")).agg(*_SUMS)
+    cells = sized.groupBy(_prefix(F.lit(depth)).alias("cell")).agg(*_sums())
     while True:
         cells = written(cells, "cells")
         span = F.explode(F.sequence(F.lit(low), F.lit(depth))).alias("bits")
         levels = cells.withColumn("bits", span).withColumn("prefix", _prefix(F.col("bits"), "cell", depth))
-        fits = levels.groupBy("bits", "prefix").agg(*_SUMS).where(f"bytes <= {limit} or first = last")
+        fits = levels.groupBy("bits", "prefix").agg(*_sums()).where(f"bytes <= {limit} or first = last")
         chosen = levels.select("cell", "bits", "prefix").join(fits, ["bits", "prefix"]).groupBy("cell").agg(F.min(F.struct("bits", "prefix", F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"))).alias("s"))
         shards = chosen.select("s.*").distinct()
         found = shards if found is None else found.unionByName(shards)
@@ -53,7 +54,7 @@ def directory(sized: DataFrame, limit: int) -> DataFrame:
             return written(found, "directory")
         deeper = min(BITS, depth + 8)
         inside = sized.withColumn("at", _prefix(F.lit(depth))).join(rest.withColumnRenamed("cell", "at"), "at", "left_semi")
-        cells = inside.groupBy(_prefix(F.lit(deeper)).alias("cell")).agg(*_SUMS)
+        cells = inside.groupBy(_prefix(F.lit(deeper)).alias("cell")).agg(*_sums())
         low, depth = depth + 1, deeper
 
 
