@@ -13,10 +13,20 @@ from ..runtime import delete, fresh_path
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, reread: its lineage is cut and a lost executor takes nothing along."""
+    """df as a Parquet table in the shared folder, reread: its lineage is cut and a lost executor takes nothing along.
+
+    The write's shuffle files go when it ends, as the plan is not run again."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._plinth_path = path
     return out

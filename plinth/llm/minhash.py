@@ -6,9 +6,12 @@ keeps its least rank.  Ranks of step j lie in [j, j + 1), so a slot filled at on
 the steps run for all elements of a block at once and stop, document by document, when every slot is filled.
 
 Skew: documents with equal sets collapse into a class before anything is compared (pre-aggregated), and a bucket is
-never expanded into pairs.  Each round tests a bucket's members against its pivot only, merges what is linked and
-drops the pivot; a bucket is done when its members share one component.  No link between components is lost to this,
-and a bucket of mutual near-copies is done after one or two rounds.
+never expanded into pairs.  Each round tests a bucket's members against a few pivots only, merges what is linked and
+drops the pivots; a bucket is done when its members share one component.  No link between components is lost to this.
+Before that, shingles that no other candidate holds are counted.  They bound a pair's similarity from above without a
+look at its sets: a text with many of its own can link with nothing, and of a group of variously edited copies only the
+pairs that are close enough to each other are left to verify.  The first round has one pivot a bucket, which merges nearly all of a group of mutual near-copies; later rounds, for the
+buckets whose members still differ, have up to PIVOTS[i] of them, so that rounds stay few.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from .common import WordHash, blocks, discard, grams, mix, odd_constants, with_c
 WORDS = 5
 BANDS, ROWS = 32, 6
 SLOTS = BANDS * ROWS
+PIVOTS = (1, 16, 64, 256)
 _K = odd_constants(WORDS + 1, 11)
 _BAND = odd_constants(ROWS, 23)
 _UNSET = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -158,13 +162,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     members = written(entries.join(many, "band").withColumn("comp", F.col("rep")), "members")
     wanted = members.select("rep").distinct()
     sets = written(docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep").mapInArrow(_sets, "rep long, elements array<long>"), "sets")
-    labels, tested = None, None
+    # own: shingles that no other candidate has; they are in no intersection
+    held = sets.select(F.struct("rep", F.size("elements").cast("long").alias("n")).alias("s"), F.explode("elements").alias("e"))
+    alone = held.groupBy("e").agg(F.min("s").alias("s"), F.max("s").alias("other")).where("s = other")
+    own = alone.groupBy("s.rep", "s.n").agg(F.count("*").alias("own"))
+    bounded = members.join(own, ["rep", "n"], "left").withColumn("own", F.coalesce("own", F.lit(0))).where(f"100 * (n - own) >= {percent} * n")
+    several = bounded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("band")
+    before, members = members, written(bounded.join(several, "band"), "members")
+    discard(before)
+    possible = f"comp <> p.comp and 100 * least(n - own, p.n - p.own) >= {percent} * greatest(n + p.own, p.n + own)"
+    labels, tested, turn = None, None, 0
     while not members.isEmpty():
-        pivots = members.groupBy("band").agg(F.min(F.struct("rep", "n", "comp")).alias("p"))
+        share = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(PIVOTS[min(turn, len(PIVOTS) - 1)]))
+        pivots = members.groupBy("band", share.alias("share")).agg(F.min(F.struct("rep", "n", "own", "comp")).alias("p")).select("band", "p")
+        turn += 1
         pairs = (
             members.join(pivots, "band")
-            .where("comp <> p.comp and 100 * least(n, p.n) >= %d * greatest(n, p.n)" % percent)
-            .select("rep", "comp", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("pivot_comp"), "n", F.col("p.n").alias("pivot_n"))
+            .where(possible)
+            .select(F.when(F.col("rep") < F.col("p.rep"), F.struct("rep", "n", "own", "comp")).otherwise(F.col("p")).alias("p"), F.when(F.col("rep") < F.col("p.rep"), F.col("p")).otherwise(F.struct("rep", "n", "own", "comp")).alias("m"))
+            .select("m.rep", "m.comp", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("pivot_comp"), "m.n", F.col("p.n").alias("pivot_n"))
             .distinct()
         )
         if tested is not None:
@@ -180,8 +196,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         )
         merged = components(links)
         moved = merged.select(F.col("u").alias("comp"), F.col("v").alias("to"))
-        left = members.join(pivots.select("band", F.col("p.rep").alias("pivot")), "band").where("rep <> pivot").drop("pivot")
-        left = left.join(moved, "comp", "left").select("band", "rep", "n", F.coalesce("to", "comp").alias("comp"))
+        left = members.join(pivots.select("band", "p.rep"), ["band", "rep"], "left_anti")
+        left = left.join(moved, "comp", "left").select("band", "rep", "n", "own", F.coalesce("to", "comp").alias("comp"))
         alive = left.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
         after = written(left.join(alive, "band"), "members")
         if labels is None:
