@@ -168,23 +168,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     own = alone.groupBy("s.rep", "s.n").agg(F.count("*").alias("own"))
     bounded = members.join(own, ["rep", "n"], "left").withColumn("own", F.coalesce("own", F.lit(0))).where(f"100 * (n - own) >= {percent} * n")
     several = bounded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("band")
-    before, members = members, written(bounded.join(several, "band"), "members")
+    active = bounded.join(several, "band")
+    # all bands of a text go along (BANDS at most): a pair is tested in its least common band and nowhere else
+    before, members = members, written(active.join(active.groupBy("rep", "n").agg(F.collect_set("band").alias("bands")), ["rep", "n"]), "members")
     discard(before)
-    possible = f"comp <> p.comp and 100 * least(n - own, p.n - p.own) >= {percent} * greatest(n + p.own, p.n + own)"
-    labels, tested, turn = None, None, 0
+    possible = f"comp <> p.comp and band = array_min(array_intersect(bands, p.bands)) and 100 * least(n - own, p.n - p.own) >= {percent} * greatest(n + p.own, p.n + own)"
+    labels, turn = None, 0
     while not members.isEmpty():
         share = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(PIVOTS[min(turn, len(PIVOTS) - 1)]))
-        pivots = members.groupBy("band", share.alias("share")).agg(F.min(F.struct("rep", "n", "own", "comp")).alias("p")).select("band", "p")
+        pivots = members.groupBy("band", share.alias("share")).agg(F.min(F.struct("rep", "n", "own", "comp", "bands")).alias("p")).select("band", "p")
         turn += 1
         pairs = (
             members.join(pivots, "band")
             .where(possible)
-            .select(F.when(F.col("rep") < F.col("p.rep"), F.struct("rep", "n", "own", "comp")).otherwise(F.col("p")).alias("p"), F.when(F.col("rep") < F.col("p.rep"), F.col("p")).otherwise(F.struct("rep", "n", "own", "comp")).alias("m"))
+            .select(F.when(F.col("rep") < F.col("p.rep"), F.struct("rep", "n", "own", "comp", "bands")).otherwise(F.col("p")).alias("p"), F.when(F.col("rep") < F.col("p.rep"), F.col("p")).otherwise(F.struct("rep", "n", "own", "comp", "bands")).alias("m"))
             .select("m.rep", "m.comp", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("pivot_comp"), "m.n", F.col("p.n").alias("pivot_n"))
             .distinct()
         )
-        if tested is not None:
-            pairs = pairs.join(tested, ["rep", "pivot"], "left_anti")
         pairs = written(pairs, "pairs")
         shared = F.size(F.array_intersect("elements", "pivot_elements"))
         links = (
@@ -197,16 +197,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         merged = components(links)
         moved = merged.select(F.col("u").alias("comp"), F.col("v").alias("to"))
         left = members.join(pivots.select("band", "p.rep"), ["band", "rep"], "left_anti")
-        left = left.join(moved, "comp", "left").select("band", "rep", "n", "own", F.coalesce("to", "comp").alias("comp"))
+        left = left.join(moved, "comp", "left").select("band", "rep", "n", "own", "bands", F.coalesce("to", "comp").alias("comp"))
         alive = left.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
         after = written(left.join(alive, "band"), "members")
         if labels is None:
             new_labels = merged
         else:  # what was a component's least node may have moved on
             new_labels = written(labels.join(moved, labels["v"] == moved["comp"], "left").select("u", F.coalesce("to", "v").alias("v")).unionByName(merged), "labels")
-        done = pairs.select("rep", "pivot")
-        tested = done if tested is None else tested.unionByName(done)
-        discard(members)
+        discard(members, pairs)
         members, labels = after, new_labels
     classes = reps.select("set_key", "rep")
     if labels is not None:
