@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import fresh_path, ship
-from .common import blocks, with_columns
+from .common import blocks, with_columns, written
 
 CRLF = b"\r\n"
 END = "\r\n\r\n"
@@ -170,8 +170,9 @@ def transactions(found: DataFrame) -> DataFrame:
     metadata records of one capture the one with the least record id is taken."""
     side = lambda kind: found.where(F.col("record_type") == kind).groupBy(F.col("concurrent_to").alias("capture_id")).agg(F.min(F.struct("record_id", "target_uri", "content")).alias(kind))
     captures = found.where("record_type in ('response', 'revisit')").withColumnRenamed("record_id", "capture_id")
-    originals = found.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.min(F.struct(F.col("page_id"), F.col("payload_bytes"), F.col("computed_digest"))).alias("original"))
-    return captures.join(side("request"), "capture_id", "left").join(side("metadata"), "capture_id", "left").join(originals, "refers_to", "left")
+    captures = captures.withColumn("wanted", F.coalesce("refers_to", F.concat(F.lit("none "), "capture_id")))  # nulls would meet in one task
+    originals = found.where("record_type = 'response'").groupBy(F.col("record_id").alias("wanted")).agg(F.min(F.struct(F.col("page_id"), F.col("payload_bytes"), F.col("computed_digest"))).alias("original"))
+    return captures.join(side("request"), "capture_id", "left").join(side("metadata"), "capture_id", "left").join(originals, "wanted", "left").drop("wanted")
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -179,7 +180,7 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write(pages, path, least_bytes)
-    rows = transactions(records(spark, path, with_content=False))
+    rows = transactions(written(records(spark, path, with_content=False), "records"))
     revisit = F.col("record_type") == "revisit"
     return rows.select(
         "page_id",
