@@ -50,3 +50,16 @@ def test_stages_equal_brute_force(spark, tmp_path):
     cut = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, run.select(cut).collect())) == sorted(map(tuple, frames.select(cut).collect()))
     assert {r.doc_id for r in run.select("doc_id").collect()} == set(want)
+
+
+def test_near_copies_from_a_similarity_of_four_fifths_leave(spark):
+    import random
+
+    rng = random.Random(6)
+    base = sentence(rng, 100, 5000).split()
+    near = [f"edit{i}" if i in (30, 60) else w for i, w in enumerate(base)]  # 86 of 106 shingles: 0.811
+    far = [f"edit{i}" if i in (30, 60, 90) else w for i, w in enumerate(base[::-1])]
+    further = [f"other{i}" if i in (20, 50, 80) else w for i, w in enumerate(base[::-1])]  # below 0.8
+    rows = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate((base, near, far, further))]
+    left = corpus_pipeline.near_duplicates(spark, frame(spark, rows, extra=False), "")
+    assert sorted(r.doc_id for r in left.collect()) == [0, 2, 3]
