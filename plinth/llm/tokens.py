@@ -2,7 +2,8 @@
 
 A text is cut before every space that a non-space character follows; no pre-token spans such a cut, so the pieces'
 ids joined are the whole text's ids.  Each distinct piece is encoded once while it is remembered, and kept as
-little-endian bytes.  Texts with a space before white space or the end go to the library as a whole.
+little-endian bytes.  Texts with a space before white space or the end, and those that hold an added token such as
+<|endoftext|>, go to the library as a whole.
 """
 
 from __future__ import annotations
@@ -64,7 +65,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         with open(path, encoding="utf-8") as f:
             self.lower = "Lowercase" in json.dumps(json.load(f)["normalizer"])
         self.model, self.chars = self.tokenizer.model.tokenize, _byte_chars()
@@ -119,6 +121,8 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if self.added(text):
+            return self.whole(text)
         try:
             first, *rest = text.split(" ")
             head = (self.line(first) if not first[0].isspace() else self.whole(first)) if first else b""

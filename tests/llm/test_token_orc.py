@@ -4,8 +4,8 @@ from helpers import fixture, frame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plinth.llm import token_orc
-from plinth.llm.tokens import tokenizer_path
+from plinth.llm import packing, token_orc
+from plinth.llm.tokens import Encoder, tokenizer_path
 
 
 def test_round_trip(spark):
@@ -36,3 +36,18 @@ def test_empty_table_nulls_and_repeated_rows(spark):
     rows = [(2, "b", None, None, None), (None, "a", None, None, None), (2, "b", None, None, None), (1, None, None, None, None)]
     got = sorted((r.start, str(r.doc_id), r.n_tokens) for r in token_orc.round_trip(frame(spark, rows)).collect())
     assert got == [(0, "None", 2), (2, "1", 1), (3, "2", 2), (5, "2", 2)]
+
+
+def test_added_tokens_have_the_library_s_plain_ids(spark):
+    texts = ["x <|endoftext|> y", "<|startoftext|>a b", "a b<|endoftext|>", "one<|endoftext|>two  \n<|endoftext|><|endoftext|>", "A <|ENDOFTEXT|> b", "a <|endof text|> b", "plain"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        own = Tokenizer.from_file(tokenizer_path(name))
+        want = [own.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [list(memoryview(Encoder(tokenizer_path(name)).encode(t)).cast("I")) for t in texts] == want
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    ids = {r.doc_id: r.n_tokens for r in token_orc.round_trip(frame(spark, rows)).collect()}
+    own = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    assert ids == {i: len(own.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+    own = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    lengths = {r.doc_id: r.length for r in packing.pack(frame(spark, rows)).collect()}
+    assert lengths == {i: len(own.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
