@@ -1,4 +1,4 @@
-"""Substring de-duplication by repeated-phrase automata.
+"""Substring de-duplication by recurring phrases.
 
 A window is LENGTH consecutive words of one document; its key is the least hash among its ANCHOR-word phrases, so equal
 windows have equal keys wherever they stand.  Neighbouring windows with one key form a run.
@@ -6,9 +6,9 @@ windows have equal keys wherever they stand.  Neighbouring windows with one key
 1. Runs of all documents are counted by key (map-side combined).  A window whose key occurs once cannot recur.
 2. Documents are joined with their recurring runs, whose words are cut out as segments; equal segments are aggregated
    to their first place, so copies, however many, collapse before any comparison.  Later copies go as a whole.
-3. Distinct segments are dealt by key into shards.  Each shard compiles its confirmed anchor phrases into Aho-Corasick
-   automata of bounded size and streams its segments through them; windows about every located occurrence are compared
-   by their words, and all but the first are reported.
+3. Distinct segments are dealt by key into shards.  Every window of a shard's segments goes into a dictionary by its
+   words, and all but the first are reported.  The Aho-Corasick automaton of a shard's phrases only checks that each
+   segment holds its phrase; it gives no row.
 4. A key with more than SPLIT distinct segments is not held in one task: its windows are aggregated by their words.
 
 Only segments can hold a recurring window, so this visits every occurrence while each segment meets one shard.
