@@ -72,24 +72,46 @@ class Index:
 
     def __init__(self, docs: DataFrame, stopwords: DataFrame | None = None):
         self.docs = docs
-        self.tf = term_frequencies(tokens(docs, stopwords))
-        self.idf = idf(document_frequencies(self.tf), count_documents(docs))
-        self.postings = weights(self.tf, self.idf)
+        self._plans(term_frequencies(tokens(docs, stopwords)))
+
+    def _plans(self, tf: DataFrame) -> None:
+        self.tf = tf
+        self.idf = idf(document_frequencies(tf), count_documents(self.docs))
+        self.postings = weights(tf, self.idf)
         self.norms = norms(self.postings)
 
     def save(self, path: str) -> Index:
-        """Writes the index, postings sorted by term so that a query's filter prunes row groups, and reads from it."""
+        """Writes the index and reads from it.  Texts are taken apart once; postings are sorted by term, so that a query's
+        filter prunes row groups, and norms by document."""
         spark = self.docs.sparkSession
-        for name, key in (("postings", "term"), ("idf", "term"), ("norms", "doc_id")):
+        self.tf.write.mode("overwrite").parquet(f"{path}/tf")
+        self._plans(spark.read.parquet(f"{path}/tf"))
+        for name, key in (("idf", "term"), ("postings", "term"), ("norms", "doc_id")):
             getattr(self, name).repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/{name}")
-        for name in ("postings", "idf", "norms"):
             setattr(self, name, spark.read.parquet(f"{path}/{name}"))
+            if name == "idf":
+                self.postings = weights(self.tf, self.idf)
+            elif name == "postings":
+                self.norms = norms(self.postings)
         return self
 
+    @classmethod
+    def saved(cls, docs: DataFrame, path: str) -> Index:
+        own, spark = cls.__new__(cls), docs.sparkSession
+        own.docs = docs
+        for name in ("tf", "idf", "postings", "norms"):
+            setattr(own, name, spark.read.parquet(f"{path}/{name}"))
+        return own
+
     def search(self, text: str, k: int | None = 10, order: str = "desc") -> DataFrame:
-        """(doc_id, score): the k best (None: all); order desc, asc or norm (by absolute score); ties by doc_id."""
-        query = query_vector(self.docs.sparkSession, text, self.idf)
-        found = scores(self.postings, self.norms, query)
+        """(doc_id, score): the k best (None: all); order desc, asc or norm (by absolute score); ties by doc_id.
+
+        The query's terms, few, are literals of the plan, so that their filter reaches the scans."""
+        spark = self.docs.sparkSession
+        asked = [r.term for r in tokens(spark.range(1).select(F.lit(0).alias("doc_id"), F.lit(text).alias("text"))).select("term").distinct().collect()]
+        own = F.col("term").isin(asked) if asked else F.lit(False)
+        query = query_vector(spark, text, self.idf.where(own))
+        found = scores(self.postings.where(own), self.norms, query)
         by = {"desc": F.desc("score"), "asc": F.asc("score"), "norm": F.desc(F.abs("score"))}[order]
         found = found.orderBy(by, "doc_id")
         return found if k is None else found.limit(k)
@@ -104,16 +126,21 @@ def fallback(df: DataFrame, field: str, text: str, k: int | None, key: str) -> D
     return out if k is None else out.limit(k)
 
 
-def matching_rows(df: DataFrame, key: str, field: str, text: str, k: int | None) -> DataFrame:
-    """Rows of df with their score, the best first: ranked hits, or without any the substring fallback.
+def matching_rows(df: DataFrame, key: str, field: str, text: str, k: int | None, index: Index | None = None, rows: DataFrame | None = None, pos: str | None = None) -> DataFrame:
+    """Rows with their score, the best first: ranked hits, or without any the substring fallback.
 
-    Of several rows with one id the last by text order of the row's hash stands for it."""
-    found = Index(documents(df, key, field)).search(text, k)
+    Statistics are those of df, all rows, or of its saved index; `rows` (df without it) are those that other conditions
+    leave, of which the k best come.  Of several rows with one id the last loaded stands for it: by `pos`, else by a hash."""
+    rows = df if rows is None else rows
+    index = Index(documents(df, key, field)) if index is None else index
+    found = index.search(text, None if rows is not df else k)
     if found.isEmpty():
-        return fallback(df, field, text, k, key)
-    last = Window.partitionBy(key).orderBy(F.xxhash64(*df.columns).desc())
-    rows = df.join(found.select(F.col("doc_id").alias(key), "score"), key, "inner")
-    return rows.withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn").select(*df.columns, "score").orderBy(F.desc("score"), key)
+        return fallback(rows, field, text, k, key)
+    last = F.col(pos) if pos and pos in rows.columns else F.xxhash64(*rows.columns)
+    hits = rows.join(found.select(F.col("doc_id").alias(key), "score"), key, "inner")
+    one = hits.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(last.desc()))).where("_rn = 1").drop("_rn")
+    out = one.select(*rows.columns, "score").orderBy(F.desc("score"), key)
+    return out if k is None else out.limit(k)
 
 
 def blocks(tf: DataFrame, n_blocks: int) -> DataFrame:

@@ -50,6 +50,15 @@ def bounds(df: DataFrame, x: Column, y: Column, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.min(x).alias("min_x"), F.min(y).alias("min_y"), F.max(x).alias("max_x"), F.max(y).alias("max_y"))
 
 
+def cell_size(df: DataFrame, x: Column, y: Column, rows: int) -> float:
+    """A grid width at which a cell of evenly spread points holds about `rows` of them."""
+    b = df.agg(F.count("*").alias("n"), F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).first()
+    if not b.n or None in (b.x0, b.x1, b.y0, b.y1):
+        return 1.0
+    width = max(float(b.x1 - b.x0), float(b.y1 - b.y0))
+    return width / max(1.0, (b.n / rows) ** 0.5) or 1.0
+
+
 def with_cells(df: DataFrame, x: Column, y: Column, size: float) -> DataFrame:
     """Grid cells, the layout column to range-partition point tables by before they are written."""
     return df.withColumn("cell_x", F.floor(x / size).cast("int")).withColumn("cell_y", F.floor(y / size).cast("int"))

@@ -56,19 +56,26 @@ def smooth_idf(df: Column, n: Column) -> Column:
     return F.log((n + F.lit(1.0)) / (df + F.lit(1.0))) + F.lit(1.0)
 
 
-#: A codebook of more words than this is not sent to every task.
-MOST_WORDS = 10_000
+#: Words of a codebook that are sent to every task at once.
+BLOCK = 10_000
 
 
-def assigned(descriptors: DataFrame, codebook: DataFrame, keep: list[str]) -> DataFrame:
+def assigned(descriptors: DataFrame, codebook: DataFrame, keep: list[str], block: int = BLOCK) -> DataFrame:
     """descriptors (…, v) with the nearest codebook word (word_id, centroid); ties go to the smaller word.
 
-    The codebook, whose size is checked, travels as one array: each descriptor is one row in and one row out."""
-    words = codebook.limit(MOST_WORDS + 1).agg(F.sort_array(F.collect_list(F.struct("word_id", doubles(F.col("centroid")).alias("c")))).alias("words"), F.count("*").alias("n"))
-    words = words.select(F.when(F.col("n") > MOST_WORDS, F.raise_error(F.lit(f"a codebook has at most {MOST_WORDS} words"))).otherwise(F.col("words")).alias("words"))
-    away = lambda w: F.round(_sum(F.zip_with("v", w["c"], lambda x, y: (x.cast("double") - y) * (x.cast("double") - y))), 9)
-    best = F.array_min(F.transform("words", lambda w: F.struct(away(w).alias("d2"), w["word_id"].alias("word_id"))))
-    return descriptors.crossJoin(F.broadcast(words)).select(*keep, best["word_id"].alias("word_id"), best["d2"].alias("d2"))  # one row
+    The codebook travels as one array of at most about `block` words: each descriptor is one row in and one row out.  A
+    larger codebook goes by blocks, each of which may better the word found so far."""
+    n = max(1, -(-codebook.count() // block))
+    out = descriptors.withColumn("_best", F.lit(None).cast("struct<d2:double,word_id:bigint>"))
+    for i in range(n):
+        own = codebook.where(F.pmod(F.xxhash64("word_id"), F.lit(n)) == i) if n > 1 else codebook
+        words = own.agg(F.sort_array(F.collect_list(F.struct("word_id", doubles(F.col("centroid")).alias("c")))).alias("words"))
+        away = lambda w: F.round(_sum(F.zip_with("v", w["c"], lambda x, y: (x.cast("double") - y) * (x.cast("double") - y))), 9)
+        found = F.array_min(F.transform("words", lambda w: F.struct(away(w).alias("d2"), w["word_id"].cast("long").alias("word_id"))))
+        best = F.array_min(F.array_compact(F.array("_best", found)))
+        out = out.crossJoin(F.broadcast(words)).withColumn("_best", best).drop("words")  # one row
+    kind = codebook.schema["word_id"].dataType
+    return out.select(*keep, F.col("_best.word_id").cast(kind).alias("word_id"), F.col("_best.d2").alias("d2"))
 
 
 def histogram(assigned_: DataFrame, image: str) -> DataFrame:
@@ -110,11 +117,34 @@ def sequential_search(weighted_: DataFrame, query: DataFrame, image: str, k: int
     return lengths.join(hits, image, "left").crossJoin(F.broadcast(qnorm)).select(image, score.alias("score")).orderBy(F.desc("score"), image).limit(k)  # one row
 
 
-def fit_codebook(descriptors: DataFrame, words: int, seed: int = 42, iterations: int = 20) -> DataFrame:
-    """(word_id, centroid) by k-means over the descriptors' vectors v."""
+def average_posting_length(postings_: DataFrame, codebook: DataFrame) -> DataFrame:
+    """(avg_len): postings for each word of the codebook."""
+    words = codebook.agg(F.count("*").alias("words"))
+    return postings_.agg(F.count("*").alias("n")).crossJoin(F.broadcast(words)).select(F.round(F.col("n") / F.col("words"), 6).alias("avg_len"))  # one row each
+
+
+def _model(descriptors: DataFrame, words: int, seed: int, iterations: int):
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    model = KMeans(k=words, seed=seed, maxIter=iterations, featuresCol="features").fit(descriptors.select(array_to_vector(doubles(F.col("v"))).alias("features")))
+    rows = descriptors.select(array_to_vector(doubles(F.col("v"))).alias("features"))
+    return KMeans(k=words, seed=seed, maxIter=iterations, featuresCol="features").fit(rows)
+
+
+def fit_codebook(descriptors: DataFrame, words: int, seed: int = 42, iterations: int = 300, starts: int = 1) -> DataFrame:
+    """(word_id, centroid) by k-means over the descriptors' vectors v; of several starts that of the least cost."""
+    models = [_model(descriptors, words, seed + i, iterations) for i in range(starts)]
+    model = min(models, key=lambda m: m.summary.trainingCost)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return descriptors.sparkSession.createDataFrame(rows, "word_id int, centroid array<double>")
+
+
+def grown_codebook(codebook: DataFrame, counts: DataFrame, descriptors: DataFrame) -> DataFrame:
+    """(word_id, centroid, n) after new descriptors: each joins its nearest word, whose centre moves to the mean of what
+    it held (counts: word_id, n) and what has come.  The vocabulary keeps its size, and old descriptors are not read."""
+    placed = assigned(descriptors, codebook, ["v"])
+    sums = placed.select("word_id", F.posexplode(doubles(F.col("v"))).alias("i", "x")).groupBy("word_id", "i").agg(F.sum("x").alias("s"), F.count("*").alias("m"))
+    new = sums.groupBy("word_id").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("a"), F.max("m").alias("m")).select("word_id", "m", F.transform("a", lambda z: z["s"]).alias("s"))
+    old = codebook.join(counts, "word_id", "left").join(new, "word_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    moved = F.zip_with(doubles(F.col("centroid")), F.col("s"), lambda c, x: (c * F.col("n") + x) / (F.col("n") + F.col("m")))
+    return old.select("word_id", F.when(F.col("m").isNull(), doubles(F.col("centroid"))).otherwise(moved).alias("centroid"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))

@@ -23,11 +23,12 @@ def literal(value: Any, kind: T.DataType) -> Column | None:
     if isinstance(kind, T.NumericType):
         try:
             number = float(value) if not isinstance(value, (int, float)) else value
-        except (TypeError, ValueError):
+            whole = float(number).is_integer()
+        except (TypeError, ValueError, OverflowError):
             return None
-        if isinstance(kind, T.IntegralType) and float(number).is_integer():
+        if isinstance(kind, T.IntegralType) and whole and -(2**63) <= number < 2**63:
             return F.lit(int(number))
-        return F.lit(number)
+        return F.lit(float(number))
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         import datetime
 
@@ -37,7 +38,7 @@ def literal(value: Any, kind: T.DataType) -> Column | None:
             return None
         return F.lit(str(moment.date())).cast("date") if isinstance(kind, T.DateType) else F.lit(str(moment)).cast(kind)
     if isinstance(kind, T.StringType):
-        return F.lit(value if isinstance(value, str) else str(value)) if not isinstance(value, tuple) else None
+        return F.lit(value) if isinstance(value, str) else None
     return F.lit(value) if not isinstance(value, tuple) else None
 
 
@@ -86,20 +87,23 @@ def _split(where: Any) -> tuple[list[Any], Any]:
     return [], where
 
 
-def select(df: DataFrame, query: d.Select, key: str, strict: bool = False, points: dict[str, tuple[str, str]] | None = None, vector_of=None) -> DataFrame:
+def select(df: DataFrame, query: d.Select, key: str, strict: bool = False, points: dict[str, tuple[str, str]] | None = None, vector_of=None, index_of=None) -> DataFrame:
     """WHERE, ORDER BY (also by columns not selected), LIMIT, projection.
 
     Unknown columns of the select list are dropped, or with `strict` an error.  Ranked conditions add `score` or
-    `distance`; they see the rows that the other conditions leave, and without ORDER BY their order is the result's."""
+    `distance`; they see the rows that the other conditions leave (text statistics are those of all rows), and without
+    ORDER BY their order is the result's."""
     ranked, rest = _split(query.where)
     if len(ranked) > 1:
         raise d.DialectError("one ranked condition at a time")
+    whole = df
     if rest is not None:
         df = df.where(predicate(df, rest, points))
     natural: list[Column] = []
     for r in ranked:
         if isinstance(r, d.Match):
-            df = fulltext.matching_rows(df, key, r.field, r.text, 100 if query.limit is None else query.limit)
+            index = index_of(r.field) if index_of else None
+            df = fulltext.matching_rows(whole, key, r.field, r.text, 100 if query.limit is None else query.limit, index, df, "_pos")
             natural = [F.desc("score"), F.asc(key)]
         elif isinstance(r, d.Near):
             x, y = axes(df, r.field, points)

@@ -65,14 +65,33 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes a draft beside the file and renames it, so that readers see the old text or the new one."""
+def _versions(spark: SparkSession, path: str) -> list[int]:
     fs, at = _file(spark, path)
-    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}.v*"))
+    return sorted(int(f.getPath().getName().rpartition(".v")[2]) for f in found or [])
+
+
+def read_versioned(spark: SparkSession, path: str) -> str | None:
+    """The newest version of a small file, None if there is none."""
+    found = _versions(spark, path)
+    return read_text(spark, f"{path}.v{found[-1]:010d}") if found else None
+
+
+def write_versioned(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a draft beside the file and renames it to the next version, so that readers see an old text or the new one
+    whole, whenever the writer stops.  The version before is kept, older ones go."""
+    found = _versions(spark, path)
+    target = f"{path}.v{(found[-1] + 1 if found else 1):010d}"
+    fs, at = _file(spark, target)
+    if fs.exists(at):
+        raise FileExistsError(f"{target}: another writer was first")
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.draft-{uuid.uuid4().hex}")
     stream = fs.create(draft, True)
     try:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
-    fs.delete(at, False)
-    fs.rename(draft, at)
+    if not fs.rename(draft, at):
+        raise OSError(f"{target} could not be written")
+    for old in found[:-1]:
+        delete(spark, f"{path}.v{old:010d}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +18,13 @@ IMAGE_ENDINGS = (".jpg", ".jpeg", ".png", ".bmp")
 
 
 def confined(path: str, base: str | None) -> str:
-    """path, which must lie inside base/data; outside it, the file of that name there."""
-    if base is None or "://" in path:
+    """path, which must lie inside base/data; outside it, the file of that name there.  With a base, other stores are
+    closed, and a file:// path is one like any other."""
+    if base is None:
         return path
+    path = re.sub(r"^file:/+", "/", path)
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
+        raise PermissionError(f"{path} is not a local file")
     root = (Path(base) / "data").resolve()
     for candidate in (Path(path), Path(base) / path, root / path):
         full = candidate.resolve()
@@ -30,10 +36,11 @@ def confined(path: str, base: str | None) -> str:
     return str(full)
 
 
-def read_csv(spark: SparkSession, path: str, types: str = "inferred", schema: T.StructType | None = None, coalesce_empty: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, types: str = "inferred", schema: T.StructType | None = None, coalesce_empty: bool = False, multiline: bool = False) -> DataFrame:
     """A CSV file with a header.  types: inferred from the data, by_name, or all strings; a schema overrides them.
-    Rows that do not parse are dropped; coalesce_empty turns missing numbers into 0."""
-    reader = spark.read.option("header", True).option("mode", "DROPMALFORMED").option("multiLine", True).option("escape", '"')
+    Rows that do not parse are dropped; coalesce_empty turns missing numbers into 0.  multiline admits line ends inside
+    quotes, but then a file is one task's."""
+    reader = spark.read.option("header", True).option("mode", "DROPMALFORMED").option("multiLine", multiline).option("escape", '"')
     if schema is not None:
         out = reader.schema(schema).csv(path)
     elif types == "inferred":
@@ -75,3 +82,23 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", False).load(folder)
     found = files.where(extension(F.col("path")).isin(*IMAGE_ENDINGS))
     return found.select("path", basename(F.col("path")).alias("image_id"), stem(F.col("path")).alias("title"), "content").orderBy("path")
+
+
+def extract(images: DataFrame, extractor: Callable[[bytes], list[list[float]]]) -> DataFrame:
+    """(image_id, at, v): the vectors that an extractor finds in each image's content, batch by batch on the executors.
+    What it needs is imported inside it; an image it raises ValueError for gives no rows."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for image, content in zip(batch.column("image_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                try:
+                    rows += [(image, i, [float(x) for x in v]) for i, v in enumerate(extractor(content))]
+                except ValueError:
+                    continue
+            columns = zip(*rows, strict=True) if rows else [[], [], []]
+            kinds = (pa.string(), pa.int32(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["image_id", "at", "v"])
+
+    return images.select("image_id", "content").mapInArrow(run, "image_id string, at int, v array<double>")

@@ -1,4 +1,4 @@
-"""A sequential file as a stream: batches are appended, and merged into the main table when enough have come."""
+"""A sequential file as a stream: batches are appended, seen at once, and merged into the main part later."""
 
 from __future__ import annotations
 
@@ -8,19 +8,16 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources.catalog import Catalog
 
 
-def append_and_compact(stream: DataFrame, catalog: Catalog, table: str, checkpoint: str, every: int = 5) -> StreamingQuery:
-    """Writes each micro-batch beside the table; after `every` batches they and the main rows become one snapshot in key
-    order.  A batch that is delivered again replaces its own files, so that no row comes twice."""
-    root = f"{catalog.root}/{table}-added"
+def append_and_compact(stream: DataFrame, catalog: Catalog, table: str, checkpoint: str) -> StreamingQuery:
+    """Appends each micro-batch to the table; readers see it at once, and the catalog merges parts into a snapshot in key
+    order when enough have come.  A batch that is delivered again replaces its own part, or is passed over if the parts
+    have been merged since: the last batch's number is kept with the table."""
 
     def batch(df: DataFrame, epoch: int) -> None:
-        spark = df.sparkSession
-        df.write.mode("overwrite").parquet(f"{root}/{epoch // every}/{epoch}")
-        if epoch % every == every - 1:
-            own = catalog.entry(table)
-            added = spark.read.schema(own.struct()).parquet(*[f"{root}/{epoch // every}/{e}" for e in range(epoch - every + 1, epoch + 1)])
-            if own.source != f"epoch {epoch}":
-                own.source = f"epoch {epoch}"  # persisted with the snapshot: a second delivery finds it
-                catalog.store(table, catalog.load(table).unionByName(added))
+        own = catalog.entry(table)
+        done = int(own.source.rpartition(" ")[2]) if own.source.startswith("epoch ") else -1
+        if epoch > done:
+            own.source = f"epoch {epoch}"  # persisted with the part
+            catalog.append(table, df, f"{catalog.root}/{table}/epoch-{epoch}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

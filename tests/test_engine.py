@@ -141,14 +141,134 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert "EqualTo(id,5)" in plan and "ReadSchema: struct<id:bigint,v:bigint>" in plan
 
 
-def test_streamed_batches_are_compacted(spark, tmp_path):
+@pytest.mark.parametrize("batches", [2, 7])
+def test_streamed_batches_are_seen_and_compacted(spark, tmp_path, batches):
     from plinth.sources.catalog import Catalog
     from plinth.streaming.compaction import append_and_compact
 
     catalog = Catalog(spark, str(tmp_path / "tables"))
     catalog.create("t", spark.range(3).selectExpr("id"), "seq", "id")
-    for i in (10, 20):
+    want = [0, 1, 2]
+    for i in range(10, 10 * batches + 1, 10):
         spark.range(i, i + 2).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        want += [i, i + 1]
     stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    append_and_compact(stream, catalog, "t", str(tmp_path / "cp"), every=2).awaitTermination(60)
-    assert sorted(ids(catalog.load("t"))) == [0, 1, 2, 10, 11, 20, 21]
+    append_and_compact(stream, catalog, "t", str(tmp_path / "cp")).awaitTermination(60)
+    assert sorted(ids(catalog.load("t"))) == want
+    assert len(catalog.entry("t").added) == batches % 5
+    assert sorted(ids(Catalog(spark, str(tmp_path / "tables")).load("t"))) == want
+
+
+def test_updates_follow_the_index_kind(engine):
+    for kind in ("BTree", "Hash", "ISAM", "SEQ"):
+        engine.sql(f"CREATE TABLE {kind} FROM FILE 'items.csv' USING INDEX {kind}(id)")
+        engine.update(kind, 3, precio=9.0)
+        assert engine.get(kind, 3).first()["precio"] == 9.0, kind
+        engine.update(kind, 77, precio=1.0)
+        assert engine.get(kind, 77).count() == (kind == "ISAM")
+    engine.sql("INSERT INTO BTree VALUES (8, NULL, NULL, 'z')")
+    engine.remove("BTree", 3)
+    assert sorted(ids(engine.sql("SELECT id FROM BTree"))) == [1, 2, 4, 8]
+
+
+def test_btree_removal_keeps_rows_without_a_key(engine, spark):
+    engine.catalog.create("n", spark.createDataFrame([(None, 1), (3, 2)], "id long, _pos long"), "btree", "id")
+    engine.remove("n", 3)
+    assert ids(engine.sql("SELECT * FROM n")) == [None]
+
+
+def test_views_answer_lookups_and_are_read_only(engine, spark):
+    engine.register("v", spark.range(10).selectExpr("id", "id * 2 as w"), "id")
+    assert engine.get("v", 4).first()["w"] == 8 and engine.range("v", 2, 3).count() == 2 and engine.all("v", 4).count() == 1
+    with pytest.raises(DialectError):
+        engine.remove("v", 4)
+
+
+def test_numbers_out_of_range_and_foreign_types(engine):
+    engine.sql("CREATE TABLE t FROM FILE 'items.csv' USING INDEX BTree(id)")
+    for where, n in (("id = 1e300", 0), ("id > 99999999999999999999", 0), ("id < 1e300", 5), ("id != 1e300", 5), ("nombre > 5", 0), ("nombre = 5", 0), ("nombre != 5", 5)):
+        assert engine.sql(f"SELECT * FROM t WHERE {where}").count() == n, where
+
+
+def test_other_stores_are_closed_to_confined_engines(engine, tmp_path):
+    (tmp_path / "secret.csv").write_text("id\n1\n")
+    with pytest.raises(FileNotFoundError):
+        engine.sql(f"CREATE TABLE t FROM FILE 'file://{tmp_path}/secret.csv' USING INDEX SEQ(id)")
+    with pytest.raises(PermissionError):
+        files.confined("hdfs://host/data/x.csv", str(tmp_path))
+    assert files.confined(f"file://{tmp_path}/data/items.csv", str(tmp_path)).endswith("/data/items.csv")
+
+
+def test_inserts_append_and_old_snapshots_go(engine, tmp_path):
+    from pathlib import Path
+
+    engine.sql("CREATE TABLE t (id INT KEY INDEX SEQ, v FLOAT)")
+    for i in range(12):
+        engine.sql(f"INSERT INTO t VALUES ({i % 4}, {float(i)})")
+    entry = engine.catalog.entry("t")
+    assert len(entry.added) == 2 and engine.sql("SELECT * FROM t").count() == 12
+    assert engine.get("t", 1).first()["v"] == 1.0 and [r.v for r in engine.all("t", 1).collect()] == [1.0, 5.0, 9.0]
+    assert len(list(Path(engine.root, "t").iterdir())) <= 2 + 6 + 1
+    assert len(list(Path(engine.root).glob("catalog.json.v*"))) == 2
+
+
+def test_a_crashed_catalog_write_loses_nothing(engine, spark):
+    engine.sql("CREATE TABLE t (id INT KEY INDEX SEQ)")
+    from pathlib import Path
+
+    Path(engine.root, "catalog.json.draft-dead").write_text("{")
+    assert Engine(spark, engine.root).catalog.tables().count() == 1
+
+
+def test_hash_lookups_read_one_bucket(engine, spark, monkeypatch):
+    from plinth.sources import catalog
+
+    monkeypatch.setattr(catalog, "BUCKET_ROWS", 10)
+    engine.catalog.create("h", spark.range(100).selectExpr("id", "id as _pos"), "hash", "id")
+    assert engine.catalog.entry("h").buckets == 16 and ids(engine.get("h", 42)) == [42]
+    plan = engine.sql("SELECT * FROM h WHERE id = 42")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_bucket" in plan and ids(engine.sql("SELECT * FROM h WHERE id = 42")) == [42]
+
+
+def test_full_text_tables_keep_an_index(engine, spark, tmp_path):
+    (tmp_path / "data" / "ft.csv").write_text("id,title,text\n1,a,amor en tiempos de guerra\n2,b,amor y paz\n3,c,vida\n", encoding="utf-8")
+    engine.sql("CREATE TABLE ft FROM FILE 'ft.csv' USING INDEX FULLTEXT(id)")
+    path = engine.catalog.entry("ft").index_path
+    assert path and engine.catalog.entry("ft").text_column == "text"
+    again = Engine(spark, engine.root)
+    df = again.sql("SELECT id, score FROM ft WHERE text @@ 'amor guerra' LIMIT 5")
+    assert ids(df) == ["1", "2"] and again.catalog.entry("ft").index_path == path
+    assert "In(term" in df._jdf.queryExecution().executedPlan().toString()
+    again.sql("INSERT INTO ft VALUES ('9', 'd', 'guerra guerra')")
+    assert "9" in ids(again.sql("SELECT id FROM ft WHERE text @@ 'guerra' LIMIT 5"))
+    assert ids(again.sql("SELECT id FROM ft WHERE text @@ 'guerra' AND title = 'd' LIMIT 5")) == ["9"]
+
+
+def test_boxes_of_points_and_rectangles(engine, spark):
+    engine.catalog.create("p", spark.createDataFrame([(1, 0.0, 0.0), (2, 5.0, 5.0), (3, None, 1.0)], "id long, x double, y double"), "rtree", "id")
+    assert ids(engine.box("p", (-1.0, -1.0, 1.0, 1.0))) == [1]
+    engine.catalog.create("r", spark.createDataFrame([(1, 0.0, 0.0, 3.0, 3.0), (2, 5.0, 5.0, 6.0, 6.0)], "id long, min_x double, min_y double, max_x double, max_y double"), "rtree", "id")
+    assert ids(engine.box("r", (2.0, 2.0, 4.0, 4.0))) == [1]
+
+
+def test_features_come_from_a_given_extractor(spark):
+    images = spark.createDataFrame([("a.jpg", bytearray(b"\x01\x02")), ("b.jpg", bytearray(b""))], "image_id string, content binary")
+
+    def extractor(content):
+        if not content:
+            raise ValueError("no image")
+        return [[b, 2 * b] for b in content]
+
+    assert sorted(map(tuple, files.extract(images, extractor).collect())) == [("a.jpg", 0, [1.0, 2.0]), ("a.jpg", 1, [2.0, 4.0])]
+
+
+def test_codebooks_go_by_blocks(spark):
+    words = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(30)], "word_id int, centroid array<double>")
+    points = spark.createDataFrame([(i, [i + 0.2, 0.0]) for i in range(30)], "id long, v array<double>")
+    for block in (7, 100):
+        assert all(r.word_id == r.id for r in vectors.assigned(points, words, ["id"], block).collect())
+
+
+def test_table_columns_are_described(engine):
+    engine.sql("CREATE TABLE t (id INT KEY INDEX BTree, name VARCHAR[10])")
+    assert [tuple(r) for r in engine.catalog.columns("t").collect()] == [("id", "bigint", None, True, False), ("name", "string", 10, False, True)]
