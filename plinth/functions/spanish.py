@@ -1,7 +1,5 @@
-"""A light Spanish stemmer: attached pronouns are left, derivational, verbal and residual endings are cut.
-
-It follows the published description of suffix stripping by regions (R1, R2, RV) for folded (accent-free) text and is
-vectorised over the distinct terms of an Arrow batch."""
+"""The Spanish suffix-stripping stemmer, after its published description: attached pronouns, derivational endings, verb
+endings, residual endings.  Vectorised over the distinct terms of an Arrow batch."""
 
 from __future__ import annotations
 
@@ -9,19 +7,30 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_VOWELS = set("aeiou")
-#: Endings by the region that must hold them, longest first within a group.
-STANDARD = ("amientos", "imientos", "amiento", "imiento", "aciones", "adores", "adoras", "ancias", "logias", "encias", "idades", "ismos", "ables", "ibles", "istas", "acion", "adora", "ancia", "logia", "encia", "mente", "anzas", "antes", "ador", "ante", "idad", "anza", "icos", "icas", "ismo", "able", "ible", "ista", "osos", "osas", "ivas", "ivos", "ico", "ica", "oso", "osa", "iva", "ivo")
-VERBAL = ("ariamos", "eriamos", "iriamos", "ieramos", "iesemos", "aremos", "eremos", "iremos", "abamos", "aramos", "asemos", "isteis", "asteis", "iendo", "ieron", "ieras", "ieses", "iamos", "arian", "arias", "erian", "erias", "irian", "irias", "aban", "abas", "aran", "aras", "eran", "eras", "iran", "iras", "ando", "aron", "adas", "ados", "idas", "idos", "amos", "imos", "aria", "eria", "iria", "iera", "iese", "aste", "iste", "aba", "ada", "ado", "ara", "era", "ira", "ase", "ian", "ias", "ida", "ido", "ar", "er", "ir", "an", "as", "en", "es", "ia", "io")
-RESIDUAL = ("os", "a", "o", "e", "i")
-
-
-def _region(word: str, start: int = 0) -> int:
-    """After the first consonant that follows a vowel."""
-    for i in range(start + 1, len(word)):
-        if word[i] not in _VOWELS and word[i - 1] in _VOWELS:
-            return i + 1
-    return len(word)
+_VOWELS = set("aeiouáéíóúü")
+_PLAIN = str.maketrans("áéíóú", "aeiou")
+#: The endings of the published description, by what happens to them.
+PRONOUNS = "me se sela selo selas selos la le lo las les los nos".split()
+BEFORE_PRONOUNS = "iéndo ándo ár ér ír ando iendo ar er ir".split()
+PLAIN = "anza anzas ico ica icos icas ismo ismos able ables ible ibles ista istas oso osa osos osas amiento amientos imiento imientos".split()
+AGENT = "adora ador ación acion adoras adores aciones ante antes ancia ancias".split()
+REPLACED = {"logía": "log", "logías": "log", "ución": "u", "uciones": "u", "encia": "ente", "encias": "ente"}
+QUALITY = "idad idades".split()
+ACTIVE = "iva ivo ivas ivos".split()
+Y_VERBS = "ya ye yan yen yeron yendo yo yó yas yes yais yamos".split()
+E_VERBS = "en es éis emos".split()
+VERBS = (
+    "arían arías arán arás aríais aría aréis aríamos aremos ará aré erían erías erán erás eríais ería eréis eríamos eremos erá eré "
+    "irían irías irán irás iríais iría iréis iríamos iremos irá iré aba ada ida ía ara iera ad ed id ase iese aste iste an aban ían aran ieran "
+    "asen iesen aron ieron ado ido ando iendo ió ar er ir as abas adas idas ías aras ieras ases ieses ís áis abais íais arais ierais aseis "
+    "ieseis asteis isteis ados idos amos ábamos íamos imos áramos iéramos iésemos ásemos"
+).split()
+RESIDUAL = "os a o á í ó e é".split()
+
+
+def _after(word: str, start: int) -> int:
+    """After the first consonant that follows a vowel at or after start."""
+    return next((i + 1 for i in range(start + 1, len(word)) if word[i] not in _VOWELS and word[i - 1] in _VOWELS), len(word))
 
 
 def _verb_region(word: str) -> int:
@@ -34,23 +43,68 @@ def _verb_region(word: str) -> int:
     return 3
 
 
+def _longest(word: str, endings, start: int = 0) -> str:
+    """The longest ending of the word that lies after start, else an empty text."""
+    return max((e for e in endings if word.endswith(e) and len(word) - len(e) >= start), key=len, default="")
+
+
+def _without_pronoun(word: str, rv: int) -> str:
+    pronoun = _longest(word, PRONOUNS, rv)
+    rest = word[: len(word) - len(pronoun)]
+    if not pronoun:
+        return word
+    found = _longest(rest, BEFORE_PRONOUNS, rv)
+    if found:
+        return rest[: len(rest) - len(found)] + found.translate(_PLAIN)
+    return rest if _longest(rest, ["yendo"], rv) and rest.endswith("uyendo") else word
+
+
+def _derived(word: str, r1: int, r2: int) -> str:
+    """Without its derivational ending; the word itself if it has none in its region."""
+    found = _longest(word, [*PLAIN, *AGENT, *REPLACED, *QUALITY, *ACTIVE, "amente", "mente"])
+    rest = word[: len(word) - len(found)]
+    if not found or len(rest) < (r1 if found == "amente" else r2):
+        return word
+
+    def cut(endings: list[str]) -> str:
+        more = _longest(rest, endings)
+        return rest[: len(rest) - len(more)] if more and len(rest) - len(more) >= r2 else rest
+
+    if found in REPLACED:
+        return rest + REPLACED[found]
+    if found in AGENT:
+        return cut(["ic"])
+    if found == "amente":
+        shorter = cut(["iv", "os", "ic", "ad"])
+        if shorter != rest and rest.endswith("iv") and shorter.endswith("at") and len(shorter) - 2 >= r2:
+            return shorter[:-2]
+        return shorter
+    if found == "mente":
+        return cut(["ante", "able", "ible"])
+    return cut(["abil", "ic", "iv"]) if found in QUALITY else cut(["at"]) if found in ACTIVE else rest
+
+
+def _unconjugated(word: str, rv: int) -> str:
+    found = _longest(word, Y_VERBS, rv)
+    if found and word[: len(word) - len(found)].endswith("u"):
+        return word[: len(word) - len(found)]
+    found = _longest(word, [*E_VERBS, *VERBS], rv)
+    rest = word[: len(word) - len(found)]
+    return rest[:-1] if found in E_VERBS and rest.endswith("gu") else rest
+
+
 def stemmed(word: str) -> str:
-    r2, rv = _region(word, _region(word)), _verb_region(word)
-    for ending in STANDARD:
-        if word.endswith(ending) and len(word) - len(ending) >= r2:
-            return _residual(word[: len(word) - len(ending)])
-    for ending in VERBAL:
-        if word.endswith(ending) and len(word) - len(ending) >= rv:
-            return _residual(word[: len(word) - len(ending)])
-    return _residual(word)
-
-
-def _residual(word: str) -> str:
-    rv = _verb_region(word)
-    for ending in RESIDUAL:
-        if word.endswith(ending) and len(word) - len(ending) >= rv:
-            return word[: len(word) - len(ending)]
-    return word
+    r1, rv = _after(word, 0), _verb_region(word)
+    r2 = _after(word, r1)
+    word = _without_pronoun(word, rv)
+    shorter = _derived(word, r1, r2)
+    word = _unconjugated(word, rv) if shorter == word else shorter
+    found = _longest(word, RESIDUAL, rv)
+    if found:
+        word = word[: len(word) - len(found)]
+        if found in "eé" and word.endswith("gu") and len(word) - 1 >= rv:
+            word = word[:-1]
+    return word.translate(_PLAIN)
 
 
 def _stems(terms: pd.Series) -> pd.Series:

@@ -272,3 +272,16 @@ def test_codebooks_go_by_blocks(spark):
 def test_table_columns_are_described(engine):
     engine.sql("CREATE TABLE t (id INT KEY INDEX BTree, name VARCHAR[10])")
     assert [tuple(r) for r in engine.catalog.columns("t").collect()] == [("id", "bigint", None, True, False), ("name", "string", 10, False, True)]
+
+
+def test_spanish_stems():
+    from plinth.functions.spanish import stemmed
+
+    #: from the samples that are published with the algorithm
+    goldens = {
+        "chicharrones": "chicharron", "chicas": "chic", "chico": "chic", "torneos": "torne", "tornillos": "tornill", "torres": "torr", "toros": "tor", "torrenciales": "torrencial",
+        "torpedearon": "torped", "torearlo": "tor", "torreón": "torreon", "tornado": "torn", "tornados": "torn", "torero": "torer", "tortura": "tortur", "toreado": "tor",
+    }
+    assert {w: stemmed(w) for w in goldens} == goldens
+    rules = {"rápidamente": "rapid", "diciéndoselo": "dic", "haciéndola": "hac", "biología": "biolog", "soluciones": "solucion", "tendencia": "tendenci", "absolutamente": "absolut", "paguen": "pag", "huyen": "huy", "a": "a", "y": "y"}
+    assert {w: stemmed(w) for w in rules} == rules
