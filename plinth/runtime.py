@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -39,8 +40,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+class _Made(threading.local):
+    """What a thread has made: another thread's queries may still read theirs."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_made = _Made()
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/plinth/{label}-{uuid.uuid4().hex}"
+    _made.paths.append(f"{shared_dir(spark)}/plinth/{label}-{uuid.uuid4().hex}")
+    return _made.paths[-1]
+
+
+def mark() -> int:
+    """A point in time that sweep() takes."""
+    return len(_made.paths)
+
+
+def sweep(spark: SparkSession, since: int, *keep: str) -> None:
+    """Deletes what was made under fresh paths since a mark, but for some: intermediate tables that nothing reads any more."""
+    for path in _made.paths[since:]:
+        if path not in keep:
+            delete(spark, path)
+    _made.paths[since:] = [p for p in _made.paths[since:] if p in keep]
 
 
 def _file(spark: SparkSession, path: str):
