@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+from contextlib import contextmanager
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +17,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_writing, _writers = threading.Lock(), [0, "false"]
+
+
+@contextmanager
+def _cleaning(spark: SparkSession):
+    """Shuffle files of plans that run meanwhile go when they end.  Writes may overlap: the last one restores the setting."""
+    with _writing:
+        if not _writers[0]:
+            _writers[1] = spark.conf.get(_CLEANUP, "false")
+            spark.conf.set(_CLEANUP, "true")
+        _writers[0] += 1
+    try:
+        yield
+    finally:
+        with _writing:
+            _writers[0] -= 1
+            if not _writers[0]:
+                spark.conf.set(_CLEANUP, _writers[1])
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -21,12 +42,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
     The write's shuffle files go when it ends, as the plan is not run again."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._plinth_path = path
     return out
@@ -49,6 +66,22 @@ def with_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "inner", salts: int = 8) -> DataFrame:
+    """left joined with right, which has few rows a key: left's rows of one key are dealt over `salts` tasks by a hash of
+    `by`, and right's rows are repeated for each."""
+    salt = unused("_salt", [*left.columns, *right.columns])
+    own = left.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    return own.join(right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, salt], how).drop(salt)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, lengthened until no column is called so (Spark ignores case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, however often body uses it."""
     return F.transform(F.array(value), body)[0]
@@ -68,16 +101,21 @@ def odd_constants(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
+#: A word of more bytes is never cached, so that a cache's size is bounded by its number of words.
+LONG_WORD = 256
+
+
 class WordHash(dict):
-    """Word (bytes) -> 64-bit hash; keeps at most `most` words."""
+    """Word (bytes) -> 64-bit hash; keeps at most `most` words of at most LONG_WORD bytes."""
 
     most = 300_000
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h
+        if len(word) <= LONG_WORD:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
