@@ -1,25 +1,53 @@
 """Quality rules: base rules, then robust multivariate outliers by minimum covariance determinant.  DataFrame functions only.
 
-Statistics of every whole text are computed in the JVM and written as a narrow table.  For each (language, source)
-group, concentration steps estimate location and covariance of the transformed statistics from the h = H share of rows
-with the least Mahalanobis distances: a step is one aggregation for the groups' distance quantiles and one for counts,
-sums and cross products, both map-side combined, so that a hot source costs one row a task and nothing is collected.
-The covariance is inverted by Cholesky factors in column expressions; distances come from forward substitution.
-Groups of fewer than LEAST rows use the estimates of all rows.
+Statistics of every whole text are computed in the JVM and written as a narrow table.  Each language, then each
+(language, source) group has its own estimate of location and covariance of the transformed statistics: from several
+starts, concentration steps move to the h = H share of rows with the least Mahalanobis distances until no determinant
+changes any more (STEPS at most), and the start with the least determinant is taken.  A group's moments are those of its
+subset and of PRIOR rows distributed as its language's subset, so small groups lean on their language and large ones do
+not; there is no other way for small groups.  The covariance is multiplied by the factor that makes it consistent for
+normal data, and FLOOR, the least variance that matters, is added.  Rows beyond the 0.999 quantile of chi-square go.
+
+A step is one aggregation for the distance quantiles and one for counts, sums and cross products, both map-side combined,
+so that a hot source costs one row a task and nothing but the largest change of a determinant is collected.  The
+covariance is inverted by Cholesky factors in column expressions; distances come from forward substitution.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, discard, let, with_columns, written
 
 WINDOW = 8
-H, STEPS, LEAST = 0.75, 3, 100
-#: Squared distance beyond which a row is rejected, and the floor of a coordinate's variance.
-CUTOFF, FLOOR = 250.0, 0.01
+H, STEPS, PRIOR = 0.75, 12, 30
 DIMENSIONS = ("word_length", "symbols", "dup_lines", "repeats")
+#: Least variance of each coordinate: half of all texts have no symbol, repeated line or window at all.
+FLOOR = {"word_length": 0.01, "symbols": 0.25, "dup_lines": 0.25, "repeats": 0.25}
+#: Starts of the concentration: the medians with unit or quartile spread, and the lower quartiles.
+STARTS = 3
+
+
+def _chi_square_tail(x: float, dims: int) -> float:
+    """Upper tail of chi-square with an even number of degrees of freedom."""
+    return math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(dims // 2))
+
+
+def chi_square_quantile(p: float, dims: int = len(DIMENSIONS)) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if 1 - _chi_square_tail(mid, dims) < p else (low, mid)
+    return low
+
+
+#: Squared distance beyond which a row is rejected, and what makes a subset's covariance that of normal data.
+CUTOFF = chi_square_quantile(0.999)
+CONSISTENCY = H / (1 - _chi_square_tail(chi_square_quantile(H), len(DIMENSIONS) + 2))
 
 
 def _repeated(hashes: Column) -> Column:
@@ -75,23 +103,28 @@ def _vector() -> list[Column]:
     ]
 
 
+_PAIRS = [(a, b) for i, a in enumerate(DIMENSIONS) for b in DIMENSIONS[: i + 1]]
+_MOMENTS = ["n", *[f"s_{d}" for d in DIMENSIONS], *[f"s_{a}_{b}" for a, b in _PAIRS]]
+_FACTORS = [*[f"m_{d}" for d in DIMENSIONS], *[f"l_{a}_{b}" for a, b in _PAIRS]]
+
+
 def _moments() -> list[Column]:
     sums = [F.sum(d).alias(f"s_{d}") for d in DIMENSIONS]
-    return [F.count("*").alias("n"), *sums, *[F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for i, a in enumerate(DIMENSIONS) for b in DIMENSIONS[: i + 1]]]
+    return [F.count("*").cast("double").alias("n"), *sums, *[F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for a, b in _PAIRS]]
 
 
 def _factors(moments: DataFrame, keys: list[str]) -> DataFrame:
-    """Means m_* and Cholesky factors l_*_* of the covariances in a table of moments."""
+    """keys, the moments, means m_*, Cholesky factors l_*_* of the covariances and their determinant det."""
     for d in DIMENSIONS:
         moments = moments.withColumn(f"m_{d}", F.col(f"s_{d}") / F.col("n"))
-    for i, a in enumerate(DIMENSIONS):
-        for j, b in enumerate(DIMENSIONS[: i + 1]):
-            v = F.col(f"s_{a}_{b}") / F.col("n") - F.col(f"m_{a}") * F.col(f"m_{b}") + (FLOOR if i == j else 0.0)
-            for c in DIMENSIONS[:j]:
-                v = v - F.col(f"l_{a}_{c}") * F.col(f"l_{b}_{c}")
-            v = F.sqrt(F.greatest(v, F.lit(FLOOR / 2))) if i == j else v / F.col(f"l_{b}_{b}")
-            moments = moments.withColumn(f"l_{a}_{b}", v)
-    return moments.select(*keys, "n", *[f"m_{d}" for d in DIMENSIONS], *[f"l_{a}_{b}" for i, a in enumerate(DIMENSIONS) for b in DIMENSIONS[: i + 1]])
+    for a, b in _PAIRS:
+        v = CONSISTENCY * (F.col(f"s_{a}_{b}") / F.col("n") - F.col(f"m_{a}") * F.col(f"m_{b}")) + (FLOOR[a] if a == b else 0.0)
+        for c in DIMENSIONS[: DIMENSIONS.index(b)]:
+            v = v - F.col(f"l_{a}_{c}") * F.col(f"l_{b}_{c}")
+        v = F.sqrt(F.greatest(v, F.lit(FLOOR[a] / 2))) if a == b else v / F.col(f"l_{b}_{b}")
+        moments = moments.withColumn(f"l_{a}_{b}", v)
+    root = reduce(lambda x, y: x * y, [F.col(f"l_{d}_{d}") for d in DIMENSIONS])
+    return moments.select(*keys, *_MOMENTS, *_FACTORS, (root * root).alias("det"))
 
 
 def _distance() -> Column:
@@ -109,46 +142,67 @@ SALTS = 32
 
 
 def _with(rows: DataFrame, estimates: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """rows beside their group's estimates.  A hot group is dealt over SALTS tasks, its one row of estimates repeated;
-    without keys there is one row of estimates, which is broadcast."""
-    if not keys:
-        return rows.join(F.broadcast(estimates), how=how)
+    """rows beside their group's estimates.  A hot group is dealt over SALTS tasks, its rows of estimates repeated."""
     salted = estimates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     own = rows.withColumn("_salt", F.pmod(F.xxhash64(*DIMENSIONS, "doc_id"), F.lit(SALTS)).cast("int"))
     return own.join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
-def _estimates(rows: DataFrame, keys: list[str], steps: int = STEPS, h: float = H) -> DataFrame:
-    """Factors by group after the concentration steps; the first subset lies about the coordinates' medians."""
-    median = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.percentile_approx(d, 0.5, 1000).alias(f"m_{d}") for d in DIMENSIONS])
-    spread = [(F.lit(1.0) if i == j else F.lit(0.0)).alias(f"l_{a}_{b}") for i, a in enumerate(DIMENSIONS) for j, b in enumerate(DIMENSIONS[: i + 1])]
-    found = written(median.select(*keys, "n", *[f"m_{d}" for d in DIMENSIONS], *spread), "mcd")
+def _starts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, start and factors: STARTS rows a group."""
+    quartiles = rows.groupBy(*keys).agg(*[F.percentile_approx(d, [0.25, 0.5, 0.75], 1000).alias(d) for d in DIMENSIONS])
+
+    def one(start: int) -> Column:
+        centre = [F.col(d)[0 if start == 2 else 1].alias(f"m_{d}") for d in DIMENSIONS]
+        wide = lambda d: F.greatest((F.col(d)[2] - F.col(d)[0]) / 1.349, F.lit(math.sqrt(FLOOR[d])))
+        spread = [((wide(a) if start == 1 else F.lit(1.0)) if a == b else F.lit(0.0)).alias(f"l_{a}_{b}") for a, b in _PAIRS]
+        return F.struct(F.lit(start).alias("start"), *centre, *spread)
+
+    return quartiles.select(*keys, F.inline(F.array(*[one(i) for i in range(STARTS)]))).withColumn("det", F.lit(None).cast("double"))
+
+
+def estimates(rows: DataFrame, keys: list[str], prior: DataFrame | None = None, steps: int = STEPS, h: float = H) -> DataFrame:
+    """keys, moments of the chosen subset and factors by group, a written table.
+
+    prior: such a table by some of the keys, whose subset counts as PRIOR rows more of each group below it."""
+    found, own = written(_starts(rows, keys), "mcd"), [*keys, "start"]
+    upper = None
+    if prior is not None:
+        shared = [c for c in prior.columns if c in keys]
+        upper = prior.select(*shared, *[(F.col(c) * PRIOR / F.col("n")).alias(f"p_{c}") for c in _MOMENTS])
     for _ in range(steps):
-        near = _with(rows, found, keys).select(*keys, "doc_id", *DIMENSIONS, _distance().alias("d2"))
-        limits = near.groupBy(*keys).agg(F.percentile_approx("d2", h, 1000).alias("limit"))
-        chosen = _with(near, limits, keys).where("d2 <= limit")
-        after = written(_factors(chosen.groupBy(*keys).agg(*_moments()), keys), "mcd")
+        near = _with(rows, found.select(*own, *_FACTORS), keys).select(*own, "doc_id", *DIMENSIONS, _distance().alias("d2"))
+        limits = near.groupBy(*own).agg(F.percentile_approx("d2", h, 1000).alias("limit"))
+        subset = _with(near, limits, own).where("d2 <= limit").groupBy(*own).agg(*_moments())
+        if upper is not None:
+            subset = subset.join(upper, shared, "left").select(*own, *[(F.col(c) + F.coalesce(f"p_{c}", F.lit(0.0))).alias(c) for c in _MOMENTS])
+        after = written(_factors(subset, own), "mcd")
+        change = after.alias("a").join(found.alias("b"), own).agg(F.max(F.abs(F.col("a.det") / F.col("b.det") - 1)), F.count("b.det")).first()
         discard(found)
         found = after
-    return found
+        if change[1] and change[0] < 1e-9:
+            break
+    best = F.min_by(F.struct(*[c for c in found.columns if c not in keys]), F.struct("det", "start")).alias("best")
+    out = written(found.groupBy(*keys).agg(best).select(*keys, "best.*"), "mcd")
+    discard(found)
+    return out
 
 
 def judged(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance2) of every row.
 
     base_failed: under 20 words, or 100 * n_repeat_words > 30 * n_words.  kept: not base_failed and within `cutoff` of
-    the robust centre.  Rows that fail the base rules take no part in the estimates.  Null lang or source form groups
-    like other values; ties at a quantile all count; repeated rows are each judged; an empty table gives an empty result.
+    the robust centre of its group, which rows that fail the base rules have no part in; a group with no other rows has
+    no centre, and its distance2 is null.  Null lang, source or doc_id are values like others (a null lang or source and
+    an empty one share a group); ties at a quantile all count; repeated rows are each judged; a text of any length is
+    one array of words in one task; an empty table gives an empty result.
     """
     rows = statistics(docs).withColumn("lang", F.coalesce(F.col("lang").cast("string"), F.lit(""))).withColumn("source", F.coalesce(F.col("source").cast("string"), F.lit("")))
     rows = rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     rows = written(rows.select("*", *_vector()), "statistics")
     sound = rows.where("not base_failed").select("doc_id", "lang", "source", *DIMENSIONS)
-    groups = _estimates(sound, ["lang", "source"]).where(F.col("n") >= LEAST * H)
-    overall = _estimates(sound, [])
-    names = [c for c in overall.columns]
-    joined = _with(_with(rows, groups, ["lang", "source"], "left"), overall.select(*[F.col(c).alias(f"all_{c}") for c in names]), [], "left")
-    joined = joined.select(*rows.columns, *[F.coalesce(F.col(c), F.col(f"all_{c}")).alias(c) for c in names])
-    joined = joined.withColumn("distance2", _distance())
+    languages = estimates(sound, ["lang"])
+    groups = estimates(sound, ["lang", "source"], languages)
+    joined = _with(rows, groups.select("lang", "source", *_FACTORS), ["lang", "source"], "left").withColumn("distance2", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(True))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance2")
