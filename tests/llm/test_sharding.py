@@ -46,3 +46,25 @@ def test_empty_table_null_and_repeated_keys(spark):
     for r in sharding.shard(frame(spark, rows), 20).collect():
         by[r.doc_id].add((r.shard, r.indivisible))
     assert len(by[1]) == 1 and by[1].pop()[1] and set(by) == {1, 2, None}
+
+
+def test_written_shards_fit_their_limit_and_hold_every_row(spark, tmp_path):
+    docs, limit = frame(spark), 2000
+    found = sharding.write_shards(docs, str(tmp_path / "s"), limit)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(map(str, back.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+    by = defaultdict(int)
+    for r in back.select("shard_" if "shard_" in back.columns else "shard", "text").collect():
+        by[r[0]] += len((r.text or "").encode())
+    whole = {r.shard for r in sharding.shard(docs, limit).where("indivisible").select("shard").collect()}
+    assert all(n <= limit or s[1:] in whole for s, n in by.items()) and len(by) == found.count()
+    assert all(len(list(d.glob("*.parquet"))) == 1 for d in (tmp_path / "s").glob("shard*=*") if d.name.partition("=p")[2] not in whole)
+
+
+def test_a_hot_key_and_plan_without_python(spark):
+    rows = [(7, "x" * 10, None, None, 0)] * 10_000 + [(i, "y" * 40, None, None, 0) for i in range(100, 400)]
+    df = sharding.shard(frame(spark, rows, extra=False), 500)
+    got = df.collect()
+    assert sorted([(r.doc_id, r.shard, r.shard_bytes) for r in got], key=str) == brute([(r[0], r[1]) for r in rows], 500)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
