@@ -49,10 +49,11 @@ def _digests(batches):
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
     """Writes each row's ids and the end id 0.  Rows with one doc_id follow one another, ordered by a hash of the text;
-    null doc_ids come first; null texts are the end id alone; an empty table makes an empty ORC table."""
+    null doc_ids come first; null texts are the end id alone; an empty table makes an empty ORC table.  However many rows
+    repeat each other wholly, they are dealt over ranges by where they came from; a text of any length is one row."""
     ship(docs.sparkSession)
     docs = with_columns(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("binary").alias("text"))
-    ordered = docs.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered = docs.withColumn("part", F.spark_partition_id()).repartitionByRange("doc_id", "tie", "part").drop("part").sortWithinPartitions("doc_id", "tie")
     ordered.mapInArrow(_tokens(tokenizer or tokenizer_path("byte_bpe_50k.json")), SCHEMA).write.options(**ORC).orc(path)
 
 

@@ -19,16 +19,53 @@ def test_round_trip(spark):
     assert got == want
 
 
-def test_files_have_bloom_filters_and_prune_by_id(spark, tmp_path):
+def scanned(df):
+    """Rows that the scan handed on."""
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df._jdf.queryExecution().executedPlan()
+        assert df.count() >= 0
+        plan.executeCollect()
+        while plan.children().size():
+            plan = plan.children().head()
+        return plan.metrics().apply("numOutputRows").value()
+    finally:
+        df.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_bloom_filters_row_indexes_and_stripes_prune(spark, tmp_path):
+    path = str(tmp_path / "orc")
+    rows = [(2 * i, f"w{i % 50}x w{i % 7}x", None, None, None) for i in range(12_000)]
+    token_orc.write_tokens(frame(spark, rows, extra=False).repartition(3), path)
+    found = token_orc.read_tokens(spark, path)
+    one = found.where(F.col("doc_id") == 7000).drop("file")
+    assert "EqualTo(doc_id,7000)" in one._jdf.queryExecution().executedPlan().toString()
+    assert one.count() == 1 and scanned(one) <= 1000  # one row group of 12
+    # odd ids lie between the row groups' bounds: only a Bloom filter can tell that they are absent
+    absent = [scanned(found.where(F.col("doc_id") == odd).drop("file")) for odd in range(1001, 21_001, 1000)]
+    assert sum(absent) <= 2000 and absent.count(0) >= 18
+    file = max((tmp_path / "orc").glob("*.orc"), key=lambda p: p.stat().st_size)
+    reader = spark._jvm.org.apache.orc.OrcFile.createReader(spark._jvm.org.apache.hadoop.fs.Path(str(file)), spark._jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+    assert reader.getRowIndexStride() == 1000 and reader.getCompressionKind().toString() == "ZSTD"
+
+
+def test_a_file_is_read_by_its_stripes_in_parallel(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(token_orc.ORC, "orc.stripe.size", str(64 << 10))
     path = str(tmp_path / "orc")
-    token_orc.write_tokens(frame(spark), path)
-    plan = token_orc.read_tokens(spark, path).where(F.col("doc_id") == 7)
-    assert "EqualTo(doc_id,7)" in plan._jdf.queryExecution().executedPlan().toString()
-    assert plan.count() == 1
-    import pyarrow.orc as orc
-
-    file = next(p for p in sorted((tmp_path / "orc").glob("*.orc")))
-    assert orc.ORCFile(str(file)).compression == "ZSTD"
+    rows = [(i, " ".join(f"w{(i * 7919 + k * 104729) % 9973}" for k in range(60)), None, None, None) for i in range(9000)]
+    docs = frame(spark, rows, extra=False)
+    token_orc.write_tokens(docs.coalesce(1), path)
+    file = max((tmp_path / "orc").glob("*.orc"), key=lambda p: p.stat().st_size)
+    reader = spark._jvm.org.apache.orc.OrcFile.createReader(spark._jvm.org.apache.hadoop.fs.Path(str(file)), spark._jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+    assert reader.getStripes().size() > 1
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(32 << 10))
+    try:
+        found = token_orc.read_tokens(spark, path)
+        parts = found.groupBy(F.spark_partition_id()).count().collect()
+        assert len(parts) == reader.getStripes().size() and sum(r["count"] for r in parts) == 9000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_empty_table_nulls_and_repeated_rows(spark):
