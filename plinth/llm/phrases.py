@@ -6,12 +6,17 @@ windows have equal keys wherever they stand.  Neighbouring windows with one key
 1. Runs of all documents are counted by key (map-side combined).  A window whose key occurs once cannot recur.
 2. Documents are joined with their recurring runs, whose words are cut out as segments; equal segments are aggregated
    to their first place, so copies, however many, collapse before any comparison.  Later copies go as a whole.
-3. Distinct segments are dealt by key into shards.  Every window of a shard's segments goes into a dictionary by its
-   words, and all but the first are reported.  The Aho-Corasick automaton of a shard's phrases only checks that each
-   segment holds its phrase; it gives no row.
-4. A key with more than SPLIT distinct segments is not held in one task: its windows are aggregated by their words.
+3. Distinct segments are dealt by key into shards.  The confirmed phrases of a shard are compiled into an Aho-Corasick
+   automaton, the segments of all documents are streamed through it, and the windows about every located occurrence are
+   entered by their words: all but the first go.  What the automaton does not locate is not removed.
+4. A key with more than SPLIT distinct segments is dealt over several chunks by the segments' hashes.  Each chunk meets
+   the automaton like any shard and settles all but its own first place of a window; the chunks' first places, one a
+   chunk and window, are settled by one more aggregation.
 
-Only segments can hold a recurring window, so this visits every occurrence while each segment meets one shard.
+Only segments can hold a recurring window, and those of one phrase meet in its shard: every document is streamed, but
+through the automata of its own phrases alone, so the work does not grow as documents times shards.
+
+A text of any length is one list of words in one task; it is cut into segments before it is shuffled by key.
 """
 
 from __future__ import annotations
@@ -23,14 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship
-from .common import WordHash, blocks, discard, grams, odd_constants, with_columns, written
+from ..runtime import mark, ship, sweep
+from .common import WordHash, blocks, discard, grams, odd_constants, unused, with_columns, written
 
 LENGTH, ANCHOR = 20, 8
 SPAN = LENGTH - ANCHOR + 1
 SPLIT = 2000
 #: Phrases of one automaton, and the bytes of segments held with it.
 PHRASES, HELD = 20_000, 16 << 20
+#: Rows of two numbers up to which a table is broadcast.
+BROADCAST = 200_000
 _K = odd_constants(ANCHOR, 5)
 _NONE = -(1 << 63)
 
@@ -100,56 +107,71 @@ def _segments(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "doc", "tie", "start", "n", "anchor", "hash", "segment"])
 
 
-def later_windows(shard: list[tuple]) -> list[tuple]:
-    """(doc, tie, from, to): words of first occurrences that an earlier window covers.
+def located(shard: list[tuple]) -> list[list[int]]:
+    """For each (key, chunks, first, anchor, segment) the starts of the windows about the occurrences of its phrase.
 
-    shard: (key, first, n, anchor, segment) of distinct segments, first = (doc, tie, start), grouped by key."""
+    The phrases, each confirmed by two occurrences at least, stand in one automaton; a phrase is ANCHOR whole words."""
     automaton = ahocorasick.Automaton()
     for key, _, _, anchor, segment in shard:
         automaton.add_word(b" ".join([b"", *segment.split()[anchor : anchor + ANCHOR], b""]).decode("latin-1"), key)
     automaton.make_automaton()
-    first_place: dict[tuple, tuple] = {}
-    located = []
-    for key, first, n, _, segment in shard:
-        if not any(found == key for _, found in automaton.iter(f" {segment.decode('latin-1')} ")):
-            raise AssertionError("a segment lacks its phrase")
+    out = []
+    for key, _, _, _, segment in shard:
+        text, last = f" {segment.decode('latin-1')} ", segment.count(b" ") + 1 - LENGTH
+        starts: set[int] = set()
+        for end, found in automaton.iter(text):
+            if found == key:
+                at = text.count(" ", 0, end) - ANCHOR
+                starts.update(range(max(0, at - SPAN + 1), min(at, last) + 1))
+        out.append(sorted(starts))
+    return out
+
+
+def settled(shard: list[tuple]) -> list[tuple]:
+    """(doc, tie, low, high, window) of a shard (as located() takes it): words of windows with an earlier twin in it
+    (window None), and the first places of windows whose key has other chunks."""
+    first_place: dict[bytes, tuple] = {}
+    places = []
+    for (_, chunks, first, _, segment), starts in zip(shard, located(shard), strict=True):
         parts, (doc, tie, start) = segment.split(), first
-        for i in range(n):
-            window, place = (key, b" ".join(parts[i : i + LENGTH])), (doc, tie, start + i)
+        for i in starts:
+            window, place = b" ".join(parts[i : i + LENGTH]), (doc, tie, start + i)
             if place <= first_place.setdefault(window, place):
                 first_place[window] = place
-            located.append((window, place))
+            places.append((window, place, chunks))
     out: list[tuple] = []
-    for window, place in located:
+    for window, place, chunks in places:
+        doc, tie, at = place
         if first_place[window] < place:
-            doc, tie, at = place
-            if out and out[-1][:2] == (doc, tie) and out[-1][2] <= at <= out[-1][3]:
-                out[-1] = (doc, tie, out[-1][2], at + LENGTH)
+            if out and out[-1][4] is None and out[-1][:2] == (doc, tie) and out[-1][2] <= at <= out[-1][3]:
+                out[-1] = (doc, tie, out[-1][2], at + LENGTH, None)
             else:
-                out.append((doc, tie, at, at + LENGTH))
+                out.append((doc, tie, at, at + LENGTH, None))
+        elif chunks > 1:
+            out.append((doc, tie, at, at + LENGTH, xxhash.xxh3_128_digest(window)))
     return out
 
 
-def _ranges(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
     columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc", "tie", "low", "high"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc", "tie", "low", "high", "window"])
 
 
 def _located(batches):
-    """Shards of whole key groups from rows sorted by key."""
+    """Shards of whole chunks from rows sorted by key and chunk."""
     shard, size, keys, last = [], 0, 0, None
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("key", "doc", "tie", "start", "n", "anchor", "segment")]
-        for key, doc, tie, start, n, anchor, segment in zip(*columns, strict=True):
-            if key != last:
+        columns = [batch.column(c).to_pylist() for c in ("key", "chunk", "chunks", "doc", "tie", "start", "n", "anchor", "segment")]
+        for key, chunk, chunks, doc, tie, start, n, anchor, segment in zip(*columns, strict=True):
+            if (key, chunk) != last:
                 if keys >= PHRASES or size >= HELD:
-                    yield _ranges(later_windows(shard))
+                    yield _rows(settled(shard))
                     shard, size, keys = [], 0, 0
-                last, keys = key, keys + 1
-            shard.append((key, (doc, tie, start), n, anchor, segment))
+                last, keys = (key, chunk), keys + 1
+            shard.append((key, chunks, (doc, tie, start), anchor, segment))
             size += len(segment) * (1 + n // 2)
-    yield _ranges(later_windows(shard) if shard else [])
+    yield _rows(settled(shard) if shard else [])
 
 
 def _kept(batches):
@@ -187,16 +209,25 @@ def repeated_ranges(keyed: DataFrame, split: int = SPLIT) -> DataFrame:
     firsts = written(firsts.select("key", "hash", "f.doc", "f.tie", "f.start", "n", "anchor", "segment"), "firsts")
     place = lambda df: df.select("hash", "key", F.struct("doc", "tie", "start").alias("first"))
     later = segments.drop("segment").join(place(firsts), ["key", "hash"]).where("struct(doc, tie, start) > first").select("doc", "tie", F.col("start").alias("low"), (F.col("start") + F.col("n") - 1 + LENGTH).alias("high"))
-    crowded = firsts.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > split).select("key")
-    located = firsts.join(crowded, "key", "left_anti").repartition("key").sortWithinPartitions("key").select("key", "doc", "tie", "start", "n", "anchor", "segment").mapInArrow(_located, "doc long, tie long, low int, high int")
-    parts = F.split(F.col("segment").cast("string"), " ")
-    windows = firsts.join(crowded, "key", "left_semi").select("doc", "tie", "start", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.sha2(F.array_join(F.slice(parts, i, LENGTH), " "), 256))).alias("i", "window"))
-    windows = windows.select("window", F.struct("doc", "tie", (F.col("start") + F.col("i")).alias("start")).alias("place"))
-    split_ = windows.join(windows.groupBy("window").agg(F.min("place").alias("first")), "window").where("place > first").select("place.doc", "place.tie", F.col("place.start").alias("low"), (F.col("place.start") + LENGTH).alias("high"))
-    ranges = later.unionByName(located).unionByName(split_)
+    crowded = written(firsts.groupBy("key").agg(F.ceil(F.count("*") / split).cast("int").alias("chunks")).where("chunks > 1"), "crowded")
+    some = F.broadcast(crowded) if crowded.count() <= BROADCAST else crowded  # two numbers a row
+    dealt = firsts.join(some, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("hash"), F.col("chunks")).cast("int"))
+    dealt = dealt.repartition("key", "chunk").sortWithinPartitions("key", "chunk").select("key", "chunk", "chunks", "doc", "tie", "start", "n", "anchor", "segment")
+    found = written(dealt.mapInArrow(_located, "doc long, tie long, low int, high int, window binary"), "located")
+    # a chunk has one first place of a window: as many rows a group as its key has chunks
+    firsts_of = found.where("window is not null").groupBy("window").agg(F.array_sort(F.collect_list(F.struct("doc", "tie", "low", "high"))).alias("places"))
+    beaten = firsts_of.select(F.inline(F.slice("places", F.lit(2), F.size("places"))))
+    ranges = later.unionByName(found.where("window is null").drop("window")).unionByName(beaten)
     return ranges.groupBy("doc", "tie").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
 
 
+def _written_ranges(keyed: DataFrame, split: int) -> DataFrame:
+    since = mark()
+    ranges = written(repeated_ranges(keyed, split), "ranges")
+    sweep(keyed.sparkSession, since, ranges._plinth_path)
+    return ranges
+
+
 def deduplicated(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """(doc_id, tie, n_words, n_removed, kept) of every row of docs (doc_id, text): `kept` is what is left of the text,
     its words joined by one space.
@@ -206,15 +237,15 @@ def deduplicated(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     order of a hash of their texts; wholly repeated rows count as one document.  An empty table gives an empty result."""
     ship(docs.sparkSession)
     keyed = _keyed(docs)
-    ranges = written(repeated_ranges(keyed, split), "ranges")
+    ranges = _written_ranges(keyed, split)
     out = keyed.join(ranges, ["doc", "tie"], "left").select("doc", "tie", "ranges", "text").mapInArrow(_kept, "doc long, tie long, n_words long, n_removed long, kept binary")
     return out.select(F.when(F.col("doc") != _NONE, F.col("doc")).alias("doc_id"), "tie", "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
 
 
-def _cleaned(names: list[str]):
+def _cleaned(names: list[str], ranges: str):
     def run(batches):
         for batch in batches:
-            texts, found = batch.column("text").to_pylist(), batch.column("_ranges").to_pylist()
+            texts, found = batch.column("text").to_pylist(), batch.column(ranges).to_pylist()
             kept = []
             for own, text in zip(found, texts, strict=True):
                 if own:
@@ -233,9 +264,10 @@ def cleaned(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """docs with all its columns and rows, texts without the words that deduplicated() removes; n_chars, where there is
     one, follows.  Texts that lose nothing stay as they are."""
     ship(docs.sparkSession)
-    ranges = written(repeated_ranges(_keyed(docs), split), "ranges").select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), F.col("ranges").alias("_ranges"))
-    own = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE))).withColumn("_tie", F.xxhash64("text"))
-    out = own.join(ranges, ["_doc", "_tie"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_ranges").mapInArrow(_cleaned(docs.columns), docs.schema)
+    doc, tie, found = (unused(c, docs.columns) for c in ("_doc", "_tie", "_ranges"))
+    ranges = _written_ranges(_keyed(docs), split).toDF(doc, tie, found)
+    own = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE))).withColumn(tie, F.xxhash64("text"))
+    out = own.join(ranges, [doc, tie], "left").select(*[F.col(f"`{c}`") for c in docs.columns], found).mapInArrow(_cleaned(docs.columns, found), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -1,6 +1,6 @@
 import hashlib
 
-from helpers import collected, fixture, frame, words
+from helpers import collected, fixture, frame, sentence, words
 
 from plinth.llm import phrases
 
@@ -34,8 +34,26 @@ def test_crowded_keys_are_split_by_window_with_the_same_result(spark):
     assert removed == {i: n for i, (_, n, _) in brute([(r[0], r[1]) for r in fixture()]).items()}
 
 
+def test_what_the_automata_do_not_locate_stays(spark):
+    """The shard of the fixture's phrases: without the automaton's hits nothing is removed."""
+    text = " ".join(f"v{i}" for i in range(30)).encode()
+    shard = [(5, 1, (0, 0, 3), 2, text), (5, 1, (1, 0, 9), 2, text), (5, 1, (2, 0, 0), 1, b" ".join(text.split()[1:]))]
+    assert phrases.located(shard) == [[0, 1, 2], [0, 1, 2], [0, 1]]
+    assert [r[:4] for r in phrases.settled(shard)] == [(1, 0, 9, 31), (2, 0, 0, 21)]
+
+
+def test_a_hot_phrase_in_ten_thousand_contexts(spark):
+    import random
+
+    rng = random.Random(8)
+    hot = sentence(rng, 25)
+    rows = [(i, f"{sentence(rng, 14, 10**6)} {hot} {sentence(rng, 14, 10**6)}", None, None, None) for i in range(10_000)]
+    got_ = got(phrases.digest(frame(spark, rows, extra=False)))
+    assert got_ == brute([(r[0], r[1]) for r in rows]) and sum(n for _, n, _ in got_.values()) > 25 * 9990
+
+
 def test_cleaned_keeps_rows_columns_and_untouched_texts(spark):
-    docs = frame(spark)
+    docs = frame(spark).selectExpr("*", "1 as _doc", "2 as _TIE", "3 as _ranges")
     out = phrases.cleaned(docs)
     assert out.schema == docs.schema
     rows, before = collected(out), {r[0]: r[1] for r in fixture()}
