@@ -53,3 +53,47 @@ def test_nulls_empties_and_filters(spark, model):
 def test_without_labels_every_text_scores_alike(spark):
     none = classifier.fit(frame(spark), spark.createDataFrame([], "doc_id long, quality int"))
     assert {r.score for r in classifier.score(frame(spark), none).collect()} == {0.5}
+
+
+def test_training_equals_plain_gradient_descent():
+    """Dense vectors, one example after the other, no shortcuts."""
+    import numpy as np
+
+    from plinth.llm.common import WordHash
+
+    rows, labels = corpus(40)
+    texts, y = [r[1].encode() for r in rows], [q for _, q, _ in labels]
+    prior = sum(y) / len(y)
+    got = classifier.train([classifier.document_buckets(t, WordHash()) for t in texts], y, prior)
+    rng = np.random.default_rng(classifier.SEED)
+    vectors = rng.uniform(-1 / classifier.DIM, 1 / classifier.DIM, (classifier.BUCKETS, classifier.DIM)).astype(np.float32)
+    out, bias, at = np.zeros((2, classifier.DIM)), np.zeros(2), 0
+    for _ in range(classifier.EPOCHS):
+        for i in rng.permutation(len(y)):
+            found: dict[int, float] = {}
+            parts = texts[i].split()
+            ids = WordHash().of(parts)
+            own = [b for w in parts for b in classifier.word_buckets(w)] + classifier.pair_buckets(ids).tolist()
+            for b in own:
+                found[b] = found.get(b, 0) + 1 / len(own)
+            weight = (prior / sum(y) if y[i] else (1 - prior) / (len(y) - sum(y))) * len(y)
+            step = classifier.RATE * (1 - at / (classifier.EPOCHS * len(y))) * min(weight, 3)
+            at += 1
+            hidden = sum(s * vectors[b].astype(float) for b, s in found.items())
+            z = np.exp(out @ hidden + bias)
+            error = z / z.sum() - np.eye(2)[y[i]]
+            for b, s in found.items():
+                vectors[b] -= (step * 20 * s * (error @ out)).astype(np.float32)
+            out -= step * np.outer(error, hidden)
+            bias -= step * error
+    np.testing.assert_allclose(got.weights, vectors @ (out[1] - out[0]), atol=2e-3)
+    score = got.scorer()
+    plain = classifier.Model((vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0])).scorer()
+    assert all(abs(score(t) - plain(t)) < 1e-3 for t in texts)
+
+
+def test_rows_that_share_an_id_teach_once(spark):
+    rows, labels = corpus(60)
+    many = frame(spark, rows + [(1, f"other text {i}", "en", "s", 1) for i in range(2000)])
+    model = classifier.fit(many, spark.createDataFrame(labels * 2, "doc_id long, quality int, toxic int"))
+    assert model.weights.any()
