@@ -1,8 +1,12 @@
 """Best-fit-decreasing packing of documents into token sequences.
 
-Documents are tokenised where they lie; only (doc_id, piece, start, length, crc) is shuffled.  Pieces are dealt by a
-hash into groups of about GROUP pieces and each group is packed by itself, so no task grows with the input and a
-group's only loss is the bin or so it leaves open.
+Documents are tokenised where they lie into a narrow table (doc_id, piece, start, length, crc, row).  Full pieces are
+sequences of their own.  The others, a document's last pieces, are dealt by a hash of their row, which no two share, into
+groups of about GROUP and each group is packed by itself, so no task grows with the input or with a hot key.  Bins that
+a group leaves open (filled under FULL) are opened again: their pieces, now few, are dealt and packed anew, until one
+group holds them all or packing them again saves nothing.
+
+A text of any length is tokenised in one task; its pieces are then rows like any others.
 """
 
 from __future__ import annotations
@@ -10,15 +14,18 @@ from __future__ import annotations
 import zlib
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import blocks, with_columns
+from .common import blocks, with_columns, written
 from .tokens import END, encoder, tokenizer_path
 
 CAPACITY = 2048
 GROUP = 8192
+#: Share of its capacity from which a bin is left closed while other groups have open ones.
+FULL = 0.995
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -75,7 +82,7 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, in
 
 def _pieces(path: str, capacity: int):
     def run(batches):
-        own = encoder(path)
+        own, row = encoder(path), TaskContext.get().partitionId() << 33
         for batch in batches:
             for ids, texts in blocks(batch, ["doc_id", "text"]):
                 rows = []
@@ -83,19 +90,27 @@ def _pieces(path: str, capacity: int):
                     data = own.encode((text or b"").decode()) + END
                     for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[at : at + 4 * capacity]
-                        rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+                        rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), row))
+                        row += 1
                 columns = zip(*rows, strict=True)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 
     return run
 
 
-def _pack(capacity: int):
+def _pack(capacity: int, turn: int):
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        places = best_fit_decreasing(group.column("length").to_pylist(), capacity)
-        first = key[0].as_py() << 32
-        return group.drop(["group"]).append_column("sequence_id", pa.array([first + b for b, _ in places], pa.int64())).append_column("offset", pa.array([o for _, o in places], pa.int64()))
+        group = group.sort_by([("length", "descending"), ("row", "ascending")])
+        lengths = group.column("length").to_pylist()
+        places = best_fit_decreasing(lengths, capacity)
+        first, filled = turn << 56 | key[0].as_py() << 16, {}
+        for (b, _), n in zip(places, lengths, strict=True):
+            filled[b] = filled.get(b, 0) + n
+        columns = [pa.array([first + b for b, _ in places], pa.int64()), pa.array([o for _, o in places], pa.int64()), pa.array([filled[b] < FULL * capacity for b, _ in places], pa.bool_())]
+        for name, column in zip(("sequence_id", "offset", "open"), columns, strict=True):
+            group = group.append_column(name, column)
+        return group.drop(["group"])
 
     return run
 
@@ -106,11 +121,28 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, gro
     Only documents of more than `capacity` tokens (end id 0 included) are cut.  Null and empty texts are the end id
     alone; rows with equal or null doc_ids are packed like any others; an empty table gives an empty result.
     """
+    if group > 1 << 15:
+        raise ValueError("a group has at most 32768 pieces")
     ship(docs.sparkSession)
     docs = with_columns(docs, ["doc_id", "text"])
-    groups = max(1, -(-docs.count() // group))
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(
-        _pieces(path or tokenizer_path("word_bpe_49k.json"), capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"
+    pieces = written(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(
+            _pieces(path or tokenizer_path("word_bpe_49k.json"), capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
+        ),
+        "pieces",
     )
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("group").applyInArrow(_pack(capacity), SCHEMA)
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    # negative ids: full pieces
+    out = pieces.where(F.col("length") == capacity).select(*names[:5], (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest, turn, n = pieces.where(F.col("length") < capacity), 0, None
+    while True:
+        before, n = n, rest.count()
+        if not n:
+            return out
+        groups = -(-n // group)
+        dealt = rest.withColumn("group", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(groups)))
+        packed = written(dealt.groupBy("group").applyInArrow(_pack(capacity, turn), f"{SCHEMA}, row long, open boolean"), "packed")
+        if groups == 1 or before is not None and n > 0.9 * before or turn == 100:
+            return out.unionByName(packed.select(*names))
+        out = out.unionByName(packed.where("not open").select(*names))
+        rest, turn = packed.where("open").select(*pieces.columns), turn + 1

@@ -46,6 +46,28 @@ def test_tree_finds_the_tightest_bin():
     assert len(room) <= 1.03 * sum(lengths) / 100 + 1
 
 
+def test_groups_leave_no_open_bins_behind_and_hot_rows_are_dealt(spark):
+    """Many groups pack nearly as well as one, with a third of all rows wholly alike."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(["ab"] * rng.randrange(1, 90)), None, None, None) for i in range(600)] + [(None, None, None, None, None)] * 300
+    docs = frame(spark, rows, extra=False)
+    sizes = [packing.pack(docs, capacity=100, group=g).select("sequence_id").distinct().count() for g in (1 << 15, 64)]
+    assert sizes[1] <= 1.03 * sizes[0]
+    placed = packing.pack(docs, capacity=100, group=64).collect()
+    by = defaultdict(list)
+    for r in placed:
+        by[r.sequence_id].append((r.offset, r.length))
+    assert len(placed) >= 900
+    for own in by.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 100
+
+
 def test_empty_table_and_equal_rows(spark):
     assert packing.pack(frame(spark, [])).count() == 0
     rows = packing.pack(frame(spark, [(1, "a b", None, None, None)] * 3 + [(None, None, None, None, None)])).collect()
