@@ -7,9 +7,11 @@ one's docs.  All but the last return the columns of documents.  Rows without a d
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plinth.llm import classifier, decontam, minhash, packing, phrases
 from plinth.llm.common import discard, table, written
+from plinth.runtime import mark, sweep
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,9 +20,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest doc_id.  A similarity of 0.8 links."""
+    """One document of each near-duplicate group: that with the smallest doc_id.  A similarity of 0.8 links.
+
+    Of rows that share that doc_id one stays, the first by a hash of its text: repeated rows are copies, too."""
     kept = minhash.near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    one = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64("text")).alias("row")
+    return docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(one).select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's result.  What earlier stages keep on the way is deleted when their own result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, since = docs, mark()
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        sweep(spark, since, docs._plinth_path)
         discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

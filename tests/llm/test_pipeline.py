@@ -21,15 +21,18 @@ def test_stages_equal_brute_force(spark, tmp_path):
     rows += [(300 + i, f"{sentence(rng, 40, 5000)} {item} {sentence(rng, 40, 5000)}", "en", "s", 1) for i in range(3)]
     rows += [(400 + i, sentence(rng, 80, 5000).upper().replace(" ", "!! "), "en", "s", 1) for i in range(60)]
     labels = spark.createDataFrame([(r[0], int(r[0] < 400), 0) for r in rows], "doc_id long, quality int, toxic int")
-    docs = frame(spark, rows, extra=False)
+    rows += [(700, None, None, None, None), (701, "", "en", "s", 0)]
+    # wholly repeated rows, rows without an id, columns of names that stages use themselves
+    docs = frame(spark, rows + [rows[7]] * 3 + [(None, sentence(rng, 80, 5000), "en", "s", 1)] * 2)
+    docs = docs.selectExpr("*", "1 as _doc", "2 as _tie", "array(3) as _ranges", "'s' as _scored", "map('a', 1) as row")
     folder = str(tmp_path / "sf")
     docs.write.parquet(f"{folder}/documents.parquet")
     labels.write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
 
     score = classifier.fit(docs, labels).scorer()
-    left = {r[0]: r[1] for r in rows if score(r[1].encode()) >= classifier.ACCEPT}
-    assert {i for i in left} == {r[0] for r in rows if r[0] < 400}
+    left = {r[0]: r[1] for r in rows if score((r[1] or "").encode()) >= classifier.ACCEPT}
+    assert {i for i in left if i < 700} == {r[0] for r in rows if r[0] < 400}
     kept = near(list(left.items()))
     left = {i: t for i, t in left.items() if kept[i][2]}
     gone = {i: n for i, (_, n, _) in repeated(list(left.items())).items()}
@@ -45,6 +48,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
         at[name] = frames
         if name != corpus_pipeline.STAGES[-1][0]:
             assert frames.columns == docs.columns
+    assert at["benchmark decontamination"].count() == len(want)
     assert {i: len(words(r["text"])) for i, r in collected(at["benchmark decontamination"]).items()} == want
     run = corpus_pipeline.run(spark, folder)
     cut = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -63,3 +67,11 @@ def test_near_copies_from_a_similarity_of_four_fifths_leave(spark):
     rows = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate((base, near, far, further))]
     left = corpus_pipeline.near_duplicates(spark, frame(spark, rows, extra=False), "")
     assert sorted(r.doc_id for r in left.collect()) == [0, 2, 3]
+
+
+def test_empty_tables(spark, tmp_path):
+    folder = str(tmp_path / "sf")
+    frame(spark, []).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
