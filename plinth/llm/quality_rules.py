@@ -203,6 +203,7 @@ def judged(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     sound = rows.where("not base_failed").select("doc_id", "lang", "source", *DIMENSIONS)
     languages = estimates(sound, ["lang"])
     groups = estimates(sound, ["lang", "source"], languages)
+    discard(languages)
     joined = _with(rows, groups.select("lang", "source", *_FACTORS), ["lang", "source"], "left").withColumn("distance2", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(True))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance2")

@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import mark, sweep
 from .common import unused, written
 
 LIMIT = 1 << 20
@@ -65,6 +66,7 @@ def _descended(cells: DataFrame, low: int, depth: int, limit: int) -> tuple[list
 
 def directory(sized: DataFrame, limit: int) -> DataFrame:
     """(bits, prefix, shard_bytes, shard_rows): the shards for rows (h, bytes).  bits is a shard's local depth."""
+    since = mark()
     total = sized.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     depth = min(BITS, max(1, math.ceil(math.log2(max(1, total / limit)))) + 4)
     sized = sized.select("h", "bytes", F.lit(1).cast("long").alias("rows"), F.col("h").alias("first"), F.col("h").alias("last"))
@@ -75,7 +77,9 @@ def directory(sized: DataFrame, limit: int) -> DataFrame:
         found += shards
         n = rest.count()
         if depth == BITS or not n:
-            return written(reduce(DataFrame.unionByName, found), "directory")
+            out = written(reduce(DataFrame.unionByName, found), "directory")
+            sweep(sized.sparkSession, since, out._plinth_path)
+            return out
         inside = sized.withColumn("at", _prefix(F.lit(depth))).join(_small(rest.select(F.col("cell").alias("at")), n), "at", "left_semi")
         low, depth = depth + 1, min(BITS, depth + 8)
 

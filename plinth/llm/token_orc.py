@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import fresh_path, ship
+from ..runtime import delete, fresh_path, ship
 from .common import blocks, with_columns, written
 from .tokens import END, encoder, ids_array, tokenizer_path
 
@@ -80,4 +80,6 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     path = fresh_path(spark, "orc")
     write_tokens(docs, path, tokenizer)
-    return index(spark, path)
+    out = index(spark, path)  # rests on digests, which are a table
+    delete(spark, path)
+    return out

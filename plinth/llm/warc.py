@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import fresh_path, ship
+from ..runtime import delete, fresh_path, ship
 from .common import blocks, discard, with_columns, written
 
 CRLF = b"\r\n"
@@ -219,7 +219,9 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write(pages, path, least_bytes)
-    rows = transactions(written(records(spark, path, with_content=False), "records"))
+    found = written(records(spark, path, with_content=False), "records")
+    delete(spark, path)
+    rows = transactions(found)
     revisit = F.col("record_type") == "revisit"
     return rows.select(
         "page_id",
