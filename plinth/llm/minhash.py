@@ -10,8 +10,10 @@ never expanded into pairs.  Each round tests a bucket's members against a few pi
 drops the pivots; a bucket is done when its members share one component.  No link between components is lost to this.
 Before that, shingles that no other candidate holds are counted.  They bound a pair's similarity from above without a
 look at its sets: a text with many of its own can link with nothing, and of a group of variously edited copies only the
-pairs that are close enough to each other are left to verify.  The first round has one pivot a bucket, which merges nearly all of a group of mutual near-copies; later rounds, for the
-buckets whose members still differ, have up to PIVOTS[i] of them, so that rounds stay few.
+pairs that are close enough to each other are left to verify.  Odd sketches of the sets bound a pair from above once more:
+the sets differ in as many elements at least as their sketches in bits.  The first round has one pivot a bucket, which
+merges nearly all of a group of mutual near-copies; later rounds, for the buckets whose members still differ, have up to
+PIVOTS[i] of them, so that rounds stay few.
 """
 
 from __future__ import annotations
@@ -23,12 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import WordHash, blocks, discard, grams, mix, odd_constants, with_columns, written
+from .common import WordHash, blocks, dealt_join, discard, grams, mix, odd_constants, with_columns, written
 
 WORDS = 5
 BANDS, ROWS = 32, 6
 SLOTS = BANDS * ROWS
-PIVOTS = (1, 16, 64, 256)
+PIVOTS = (1, 4, 16, 64, 256)
+#: 64-bit words of a set's sketch.
+SKETCH = 16
+#: Copies from which a set's rows are dealt over tasks, and how many such sets are: others are joined as they are.
+HOT, MOST_HOT = 100_000, 50_000
+#: Links, after each task's contraction, that one task may join: two numbers each.
+ONE_TASK = 1_000_000
 _K = odd_constants(WORDS + 1, 11)
 _BAND = odd_constants(ROWS, 23)
 _UNSET = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -96,13 +104,21 @@ def _features(batches):
             )
 
 
+def odd_sketch(elements: np.ndarray) -> np.ndarray:
+    """SKETCH * 64 parities: bit b is set if an odd number of elements have it as their place.  The sketches of two sets
+    differ in at most as many bits as the sets in elements, as whatever both hold cancels out."""
+    places = (mix(elements) >> np.uint64(32)) % np.uint64(64 * SKETCH)
+    return np.packbits(np.bincount(places.astype(np.int64), minlength=64 * SKETCH) & 1).view(np.int64)
+
+
 def _sets(batches):
     words = WordHash()
     for batch in batches:
         for ids, texts in blocks(batch, ["rep", "text"], 2 << 20):
-            sets = [shingle_set(t, words).view(np.int64) for t in texts]
+            sets = [shingle_set(t, words) for t in texts]
             ends = np.cumsum([0] + [len(s) for s in sets], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["rep", "elements"])
+            sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH), pa.array(np.concatenate([odd_sketch(s) for s in sets])))
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64))), sketches], names=["rep", "elements", "sketch"])
 
 
 def _forest(batches):
@@ -123,23 +139,28 @@ def _forest(batches):
     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.int64()), pa.array([r for _, r in own], pa.int64())], names=["u", "v"])
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, one_task: int | None = None) -> DataFrame:
     """(u, v): each linked node u with the least node v of its component, v itself left out.
 
-    Every task first contracts its own links by union-find; alternating large-star and small-star rounds then join the
-    tasks' forests.  Nothing is collected but a count and a checksum a round."""
+    Every task first contracts its own links by union-find.  Forests of ONE_TASK rows at most, counted, are joined by
+    one more task; larger ones by alternating large-star and small-star rounds, in which the edges of a hub are dealt
+    over tasks.  Nothing is collected but a count and a checksum a round."""
     forest = lambda df: df.mapInArrow(_forest, "u long, v long")
     edges, before = written(forest(links.select("u", "v")), "links"), None
     while True:
         state = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         if before == tuple(state) or not state[0]:
             return edges
+        if state[0] <= (ONE_TASK if one_task is None else one_task):
+            after = written(forest(edges.coalesce(1)), "links")
+            discard(edges)
+            return after
         before = tuple(state)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = dealt_join(both.where("v > u"), least, ["u"], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = dealt_join(large, low, ["u"], ["v"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         after = written(small.distinct(), "links")
         discard(edges)
         edges = after
@@ -156,39 +177,50 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     ship(docs.sparkSession)
     docs = with_columns(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     features = written(docs.mapInArrow(_features, "doc_id long, n_shingles long, set_key binary, bands array<long>"), "features")
-    reps = written(features.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    reps = written(features.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "classes")
     entries = reps.where("rep is not null").select("rep", "n", F.explode("bands").alias("band"))
     many = entries.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("band")
     members = written(entries.join(many, "band").withColumn("comp", F.col("rep")), "members")
     wanted = members.select("rep").distinct()
-    sets = written(docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep").mapInArrow(_sets, "rep long, elements array<long>"), "sets")
+    sets = written(docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep").mapInArrow(_sets, "rep long, elements array<long>, sketch array<long>"), "sets")
     # own: shingles that no other candidate has; they are in no intersection
     held = sets.select(F.struct("rep", F.size("elements").cast("long").alias("n")).alias("s"), F.explode("elements").alias("e"))
     alone = held.groupBy("e").agg(F.min("s").alias("s"), F.max("s").alias("other")).where("s = other")
     own = alone.groupBy("s.rep", "s.n").agg(F.count("*").alias("own"))
     bounded = members.join(own, ["rep", "n"], "left").withColumn("own", F.coalesce("own", F.lit(0))).where(f"100 * (n - own) >= {percent} * n")
-    several = bounded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("band")
-    active = bounded.join(several, "band")
+    # a bucket's least `own` bounds what any of its members can share with another: one sieve instead of tests of all pairs
+    sieve = f"100 * (n - own) >= {percent} * (n + least_own)"
+    several = bounded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.min("own").alias("least_own")).where("low < high").select("band", "least_own")
+    active = bounded.join(several, "band").where(sieve).drop("least_own")
     # all bands of a text go along (BANDS at most): a pair is tested in its least common band and nowhere else
-    before, members = members, written(active.join(active.groupBy("rep", "n").agg(F.collect_set("band").alias("bands")), ["rep", "n"]), "members")
+    # of an id with several texts no sketch holds for all
+    one = F.when(F.min("sketch") == F.max("sketch"), F.min("sketch")).alias("sketch")
+    sketches = sets.groupBy("rep").agg(one)
+    whole = active.groupBy("rep", "n").agg(F.collect_set("band").alias("bands")).join(sketches, "rep")
+    before, members = members, written(active.join(whole, ["rep", "n"]), "members")
     discard(before)
-    possible = f"comp <> p.comp and band = array_min(array_intersect(bands, p.bands)) and 100 * least(n - own, p.n - p.own) >= {percent} * greatest(n + p.own, p.n + own)"
+    differing = " + ".join(f"bit_count(sketch[{i}] ^ p.sketch[{i}])" for i in range(SKETCH))
+    # the cheap conditions first; most pairs of a large bucket end at them
+    possible = (
+        f"comp <> p.comp and 100 * least(n - own, p.n - p.own) >= {percent} * greatest(n + p.own, p.n + own)"
+        f" and coalesce({100 + percent} * ({differing}) <= {100 - percent} * (n + p.n), true) and band = array_min(array_intersect(bands, p.bands))"
+    )
     labels, turn = None, 0
     while not members.isEmpty():
         share = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(PIVOTS[min(turn, len(PIVOTS) - 1)]))
-        pivots = members.groupBy("band", share.alias("share")).agg(F.min(F.struct("rep", "n", "own", "comp", "bands")).alias("p")).select("band", "p")
+        pivots = members.groupBy("band", share.alias("share")).agg(F.min(F.struct("rep", "n", "own", "comp", "bands", "sketch")).alias("p")).select("band", "p")
         turn += 1
         pairs = (
             members.join(pivots, "band")
             .where(possible)
-            .select(F.when(F.col("rep") < F.col("p.rep"), F.struct("rep", "n", "own", "comp", "bands")).otherwise(F.col("p")).alias("p"), F.when(F.col("rep") < F.col("p.rep"), F.col("p")).otherwise(F.struct("rep", "n", "own", "comp", "bands")).alias("m"))
+            .select(F.when(F.col("rep") < F.col("p.rep"), F.struct("rep", "n", "comp")).otherwise(F.struct("p.rep", "p.n", "p.comp")).alias("p"), F.when(F.col("rep") < F.col("p.rep"), F.struct("p.rep", "p.n", "p.comp")).otherwise(F.struct("rep", "n", "comp")).alias("m"))
             .select("m.rep", "m.comp", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("pivot_comp"), "m.n", F.col("p.n").alias("pivot_n"))
             .distinct()
         )
         pairs = written(pairs, "pairs")
         shared = F.size(F.array_intersect("elements", "pivot_elements"))
         links = (
-            pairs.join(sets, "rep")
+            pairs.join(sets.select("rep", "elements"), "rep")
             .join(sets.select(F.col("rep").alias("pivot"), F.col("elements").alias("pivot_elements")), "pivot")
             .withColumn("shared", shared.cast("long"))
             .where(F.lit(100) * F.col("shared") >= F.lit(percent) * (F.col("n") + F.col("pivot_n") - F.col("shared")))
@@ -197,20 +229,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         merged = components(links)
         moved = merged.select(F.col("u").alias("comp"), F.col("v").alias("to"))
         left = members.join(pivots.select("band", "p.rep"), ["band", "rep"], "left_anti")
-        left = left.join(moved, "comp", "left").select("band", "rep", "n", "own", "bands", F.coalesce("to", "comp").alias("comp"))
-        alive = left.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
-        after = written(left.join(alive, "band"), "members")
+        left = dealt_join(left, moved, ["comp"], ["rep", "band"], "left").select("band", "rep", "n", "own", "bands", "sketch", F.coalesce("to", "comp").alias("comp"))
+        alive = left.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("own").alias("least_own")).where("low < high").select("band", "least_own")
+        after = written(left.join(alive, "band").where(sieve).drop("least_own"), "members")
         if labels is None:
             new_labels = merged
         else:  # what was a component's least node may have moved on
             new_labels = written(labels.join(moved, labels["v"] == moved["comp"], "left").select("u", F.coalesce("to", "v").alias("v")).unionByName(merged), "labels")
+            discard(labels, merged)
         discard(members, pairs)
         members, labels = after, new_labels
+    discard(members, sets)
     classes = reps.select("set_key", "rep")
     if labels is not None:
         classes = classes.join(labels.select(F.col("u").alias("rep"), F.col("v").alias("to")), "rep", "left").select("set_key", F.coalesce("to", "rep").alias("component"))
     else:
         classes = classes.withColumnRenamed("rep", "component")
-    out = features.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
+    # sets of very many copies are dealt over tasks; their number is bounded by the rows over HOT
+    hot = F.broadcast(written(reps.where(F.col("copies") > HOT).select("set_key", F.lit(True).alias("hot")).limit(MOST_HOT), "hot"))
+    many_salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(63))).otherwise(F.array(F.lit(0)))
+    classes = classes.join(hot, "set_key", "left").select("set_key", "component", F.explode(many_salts).alias("salt"))
+    narrow = features.select("doc_id", "n_shingles", "set_key").join(hot, "set_key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int")).otherwise(0))
+    out = narrow.join(classes, ["set_key", "salt"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

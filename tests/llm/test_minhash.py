@@ -65,6 +65,16 @@ def test_signature_estimates_similarity_and_is_exact_for_equal_sets():
     assert (alone[0] == s[0]).all()
 
 
-def test_components_of_long_paths(spark):
+def test_components_of_long_paths_and_hubs(spark):
     path = spark.range(1, 60).selectExpr("id as u", "id - 1 as v")
-    assert {(r.u, r.v) for r in minhash.components(path).collect()} == {(i, 0) for i in range(1, 60)}
+    hub = spark.range(101, 10_001).selectExpr("id as u", "100 as v").repartition(4)
+    for one_task in (0, None):  # by rounds of stars, and in one task
+        assert {(r.u, r.v) for r in minhash.components(path, one_task).collect()} == {(i, 0) for i in range(1, 60)}
+        assert {(r.u, r.v) for r in minhash.components(hub, one_task).collect()} == {(i, 100) for i in range(101, 10_001)}
+
+
+def test_copies_of_hot_sets_are_dealt_over_tasks_with_the_same_result(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "HOT", 2)
+    monkeypatch.setattr(minhash, "ONE_TASK", 0)
+    got = {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in collected(minhash.near_duplicates(frame(spark))).items()}
+    assert got == brute([(r[0], r[1]) for r in fixture()])
