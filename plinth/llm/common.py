@@ -37,13 +37,13 @@ def _cleaning(spark: SparkSession):
                 spark.conf.set(_CLEANUP, _writers[1])
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder, reread: its lineage is cut and a lost executor takes nothing along.
 
     The write's shuffle files go when it ends, as the plan is not run again."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
     with _cleaning(spark):
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._plinth_path = path
     return out

@@ -203,10 +203,11 @@ def repeated_ranges(keyed: DataFrame, split: int = SPLIT) -> DataFrame:
     segments = written(
         keyed.join(found, ["doc", "tie"]).dropDuplicates(["doc", "tie"]).select("doc", "tie", "found", "text").mapInArrow(_segments, "key long, doc long, tie long, start int, n int, anchor int, hash binary, segment binary"),
         "segments",
+        "zstd",
     )
     discard(spans)
     firsts = segments.groupBy("key", "hash").agg(F.min(F.struct("doc", "tie", "start")).alias("f"), F.first("n").alias("n"), F.first("anchor").alias("anchor"), F.first("segment").alias("segment"))
-    firsts = written(firsts.select("key", "hash", "f.doc", "f.tie", "f.start", "n", "anchor", "segment"), "firsts")
+    firsts = written(firsts.select("key", "hash", "f.doc", "f.tie", "f.start", "n", "anchor", "segment"), "firsts", "zstd")
     place = lambda df: df.select("hash", "key", F.struct("doc", "tie", "start").alias("first"))
     later = segments.drop("segment").join(place(firsts), ["key", "hash"]).where("struct(doc, tie, start) > first").select("doc", "tie", F.col("start").alias("low"), (F.col("start") + F.col("n") - 1 + LENGTH).alias("high"))
     crowded = written(firsts.groupBy("key").agg(F.ceil(F.count("*") / split).cast("int").alias("chunks")).where("chunks > 1"), "crowded")
