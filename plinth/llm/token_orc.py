@@ -18,6 +18,8 @@ from .common import blocks, with_columns, written
 from .tokens import END, encoder, ids_array, tokenizer_path
 
 SCHEMA = "doc_id long, tie long, ids array<int>"
+#: Pieces that a worker surely remembers, some 200 bytes each, and up to as many older ones: new ones take most of the time.
+PIECES = 600_000
 ORC = {
     "compression": "zstd",
     "orc.stripe.size": str(16 << 20),
@@ -29,7 +31,7 @@ ORC = {
 
 def _tokens(path: str):
     def run(batches):
-        own = encoder(path)
+        own = encoder(path, PIECES)
         for batch in batches:
             for ids, ties, texts in blocks(batch, ["doc_id", "tie", "text"], 2 << 20):
                 parts = [own.encode((t or b"").decode()) + END for t in texts]

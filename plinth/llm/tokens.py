@@ -8,14 +8,17 @@ little-endian bytes.  Texts with a space before white space or the end, and thos
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 from array import array
 from functools import lru_cache
+from operator import attrgetter
 
 import pyarrow as pa
 
 END = (0).to_bytes(4, "little")
+_ID = attrgetter("id")
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 #: ASCII punctuation that both vocabularies' patterns keep together; the apostrophe starts contractions.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -48,9 +51,12 @@ class _Pieces(dict):
     def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
-            if not word or word[0].isspace():
+            if word.isalpha() and (word.isascii() or _LATIN(word)):
+                found = self.encoder.letters(word, True)
+            elif not word or word[0].isspace():
                 raise _Whole
-            found = self.encoder.piece(word, True)
+            else:
+                found = self.encoder.piece(word, True)
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -69,7 +75,7 @@ class Encoder:
         self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         with open(path, encoding="utf-8") as f:
             self.lower = "Lowercase" in json.dumps(json.load(f)["normalizer"])
-        self.model, self.chars = self.tokenizer.model.tokenize, _byte_chars()
+        self.model, self.chars = self.tokenizer.model.tokenize, "".join(_byte_chars())
         self.space = "" if self.lower else self.chars[32]
         self.newline = self.whole("\n")
         self.marks: dict[str, bytes] = {}
@@ -84,8 +90,8 @@ class Encoder:
         if self.lower:
             word = word.lower()
         if not word.isascii():
-            word = "".join([self.chars[b] for b in word.encode()])
-        return array("I", [t.id for t in self.model(self.space + word if spaced else word)]).tobytes()
+            word = codecs.charmap_decode(word.encode(), "strict", self.chars)[0]
+        return array("I", map(_ID, self.model(self.space + word if spaced else word))).tobytes()
 
     def punctuation(self, marks: str) -> bytes:
         found = self.marks.get(marks)
@@ -132,9 +138,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = 250_000) -> Encoder:
     """One a Python worker."""
-    return Encoder(path)
+    return Encoder(path, most)
 
 
 def ids_array(parts: list[bytes]) -> pa.Array:

@@ -1,10 +1,11 @@
 import zlib
 
+import pyarrow as pa
 from helpers import fixture, frame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plinth.llm import packing, token_orc
+from plinth.llm import packing, token_orc, tokens
 from plinth.llm.tokens import Encoder, tokenizer_path
 
 
@@ -88,3 +89,18 @@ def test_added_tokens_have_the_library_s_plain_ids(spark):
     own = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     lengths = {r.doc_id: r.length for r in packing.pack(frame(spark, rows)).collect()}
     assert lengths == {i: len(own.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
+def test_half_a_million_pieces_are_encoded_once(monkeypatch):
+    texts = [" " + " ".join("".join(chr(97 + n // 26**k % 26) for k in range(4)) + end for n in range(at, at + 20_000)) for end in ("", "é") for at in range(0, 280_000, 20_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array([t.encode() for t in texts])], names=["doc_id", "tie", "text"])
+    tokens.encoder.cache_clear()
+    calls, plain = [], Encoder.letters
+    monkeypatch.setattr(Encoder, "letters", lambda self, word, spaced: calls.append(word) or plain(self, word, spaced))
+    run = token_orc._tokens(tokenizer_path("byte_bpe_50k.json"))
+    first, again = (pa.Table.from_batches(list(run([batch]))).column("ids") for _ in range(2))
+    assert len(calls) == len(set(calls)) == 560_000 and first == again
+    own = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    for i in (0, 27):
+        assert first[i].as_py() == own.encode(texts[i], add_special_tokens=False).ids + [0]
+    tokens.encoder.cache_clear()
